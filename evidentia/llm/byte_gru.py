@@ -107,7 +107,7 @@ class ByteGru:
         """The language of every byte of a text."""
         raw = text.encode("utf-8", "surrogatepass")
         wins, _, length = windows([raw], self.window)
-        cache = _forward(self, wins)
+        cache = _forward(self, wins, length)
         best = cache["p"].argmax(2)  # window steps x windows
         return [self.langs[best[t, w]] for w in range(len(length)) for t in range(length[w])]
 
@@ -135,7 +135,7 @@ def _gate_slope(z):
     return 0.5 * (1 - np.abs(2 * z - 1)) ** 2
 
 
-def _forward(m: ByteGru, wins: np.ndarray) -> dict:
+def _forward(m: ByteGru, wins: np.ndarray, length: np.ndarray) -> dict:
     """All states, gates and posteriors, kept for the way back; steps first."""
     n, t_max = wins.shape
     h = m.hidden
@@ -149,6 +149,8 @@ def _forward(m: ByteGru, wins: np.ndarray) -> dict:
             z, q = 0.5 + 0.5 * _squash(g[:, :h] + r[:, :h]), 0.5 + 0.5 * _squash(g[:, h : 2 * h] + r[:, h : 2 * h])
             c = _squash(g[:, 2 * h :] + q * r[:, 2 * h :])
             states[d, t + 1] = c + z * (states[d, t] - c)
+            if d == 1:  # the way back begins at a window's last byte, not in its padding
+                states[d, t + 1] *= (length > at)[:, None]
             kept.append((z, q, c, r[:, 2 * h :]))
         gates.append(kept)
     both = np.concatenate([states[0, 1:], states[1, 1:][::-1]], axis=2)
@@ -159,7 +161,7 @@ def _forward(m: ByteGru, wins: np.ndarray) -> dict:
 
 def gradients(m: ByteGru, wins: np.ndarray, length: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy over positions, and its gradients of x, u, o, b by backpropagation through time."""
-    cache, (n, t_max), h = _forward(m, wins), wins.shape, m.hidden
+    cache, (n, t_max), h = _forward(m, wins, length), wins.shape, m.hidden
     live = (np.arange(t_max)[:, None] < length[None, :]).astype(np.float32)
     count = live.sum()
     p = cache["p"]
@@ -178,7 +180,7 @@ def gradients(m: ByteGru, wins: np.ndarray, length: np.ndarray, target: np.ndarr
             at = t if d == 0 else t_max - 1 - t
             z, q, c, rc = cache["gates"][d][t]
             before = cache["states"][d, t]
-            carry = carry + d_both[at, :, d * h : (d + 1) * h]
+            carry = (carry + d_both[at, :, d * h : (d + 1) * h]) * live[at][:, None]
             dz = carry * (before - c) * _gate_slope(z)
             dc = carry * (1 - z) * (1 - np.abs(c)) ** 2
             dq = dc * rc * _gate_slope(q)
