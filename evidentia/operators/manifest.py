@@ -65,7 +65,7 @@ def decode(encoded: Column) -> Column:
     """The manifest's struct, or null: not base64url, not JSON, unknown fields, another order or version, not valid."""
     text = digest.from_base64url(encoded).cast("string")
     m = F.from_json(text, WIRE)
-    again = encode(m["v"], *[F.coalesce(m[f], F.array().cast(t)) for f, t in (("env", "array<struct<n:string,d:string>>"), ("paths", "array<struct<k:string,p:string,d:string>>"), ("unverifiable", "array<string>"))])
+    again = encode(m["v"], *[F.array_sort(F.coalesce(m[f], F.array().cast(t))) for f, t in (("env", "array<struct<n:string,d:string>>"), ("paths", "array<struct<k:string,p:string,d:string>>"), ("unverifiable", "array<string>"))])
     return F.when((m["v"] == VERSION) & (again == encoded) & valid(m), m)
 
 

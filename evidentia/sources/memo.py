@@ -55,8 +55,9 @@ class Memo:
             found = pin(compute(wanted), "memo")
             self.store(kind, scope, found)
             return found
-        hits = wanted.join(old, key)
-        rest = compute(wanted.join(old.select(*key), key, "left_anti"))
+        # both pinned: storing replaces the files that they were read from
+        hits = pin(wanted.join(old, key), "memo")
+        rest = pin(compute(wanted.join(old.select(*key), key, "left_anti")), "memo")
         self.merge(kind, scope, rest, key)
         return hits.select(*rest.columns).unionByName(rest)
 
