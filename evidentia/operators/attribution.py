@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .fixpoint import MAX_ROUNDS, BudgetExhausted, reach
+from .fixpoint import MAX_ROUNDS, BudgetExhausted, gather, reach
 
 
 def implements(type_methods: DataFrame, iface_methods: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def analyze(roots: DataFrame, static_edges: DataFrame, address_taken: DataFrame,
     reached = delta
     empty = lambda df: df.limit(0)
     values, open_sites, types, invokes = (empty(delta.join(x, "fn").drop("fn").distinct()) for x in (taken, sites, made, invoked))
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         new_values, new_sites, new_types, new_invokes = (pin(delta.join(x, "fn").drop("fn").distinct(), "facts") for x in (taken, sites, made, invoked))
-        all_sites, all_types = open_sites.unionByName(new_sites), types.unionByName(new_types)
+        all_sites, all_types = gather(open_sites, new_sites, n), gather(types, new_types, n)
         dynamic = new_values.join(all_sites, ["subject", "sig"]).unionByName(values.join(new_sites, ["subject", "sig"])).select("subject", F.col("value").alias("to"))
         through = lambda i, t: i.join(bridge, "iface").join(t, ["subject", "type"]).join(methods.drop("exported"), ["type", "method"]).select("subject", "to")
         dispatched = through(new_invokes, all_types).unionByName(through(invokes, new_types))
@@ -59,8 +59,8 @@ def analyze(roots: DataFrame, static_edges: DataFrame, address_taken: DataFrame,
         delta = pin(came.join(reached, ["subject", "fn"], "left_anti"), "reach")
         if delta.isEmpty():
             return reached
-        reached = reached.unionByName(delta)
-        values, open_sites, types, invokes = values.unionByName(new_values), all_sites, all_types, invokes.unionByName(new_invokes)
+        reached = gather(reached, delta, n)
+        values, open_sites, types, invokes = gather(values, new_values, n), all_sites, all_types, gather(invokes, new_invokes, n)
     raise BudgetExhausted("analyze")
 
 

@@ -13,6 +13,15 @@ MAX_ROUNDS = 10_000
 BROADCAST_EDGES = 200_000
 
 
+#: Rounds after which what was gathered is pinned as one table, so that its plan stays short.
+FLATTEN = 16
+
+
+def gather(so_far: DataFrame, new: DataFrame, n: int) -> DataFrame:
+    both = so_far.unionByName(new)
+    return pin(both, "gathered") if n % FLATTEN == FLATTEN - 1 else both
+
+
 class BudgetExhausted(RuntimeError):
     """The rounds allowed were not enough; the result is unavailable, not wrong."""
 
@@ -29,12 +38,12 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max
     step = _edges(edges.select("src", "dst"))
     delta = pin(seeds.select(*columns).distinct(), "delta")
     reached = delta
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         new = delta.join(step, delta["node"] == step["src"]).select(*keys, F.col("dst").alias("node")).distinct()
         delta = pin(new.join(reached, columns, "left_anti"), "delta")
         if delta.isEmpty():
             return reached
-        reached = reached.unionByName(delta)
+        reached = gather(reached, delta, n)
     raise BudgetExhausted("reach")
 
 
@@ -62,13 +71,13 @@ def least_proof(axioms: DataFrame, deps: DataFrame, owners: DataFrame | None = N
     who = pin(who, "owners")
     proven = pin(axioms.select("node").distinct(), "proven")
     good = proven if also is None else pin(proven.unionByName(also.select("node")).distinct(), "good")
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         open_ = deps.join(good.select(F.col("node").alias("dep")), "dep", "left_anti").select(F.col("own").alias("node"))
         new = who.join(open_, "node", "left_anti").join(good, "node", "left_anti")
         delta = pin(new, "delta")
         if delta.isEmpty():
             return proven
-        proven, good = proven.unionByName(delta), good.unionByName(delta)
+        proven, good = gather(proven, delta, n), gather(good, delta, n)
     raise BudgetExhausted("least_proof")
 
 

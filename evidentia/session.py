@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_PINNED: dict[str, list[str]] = {}
 
 
 def session(app: str = "evidentia", **conf: str) -> SparkSession:
@@ -31,5 +32,15 @@ def pin(df: DataFrame, what: str = "pin") -> DataFrame:
     """df as a table in the shared folder: its rows can't change any more, its lineage is cut, lost executors do no harm."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _PINNED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this application has pinned; to be called when the results made of it are written. How many tables."""
+    paths = _PINNED.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

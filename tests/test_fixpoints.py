@@ -123,3 +123,13 @@ def test_populations(spark):
     poison = spark.createDataFrame([("U", None)], "carrier string, position string")
     made_by = spark.createDataFrame([("V", "U")], "carrier string, by string")
     assert {(r.carrier, r.position) for r in dynstate.populations(defer, poison, made_by, nodes(spark, ["p1"])).collect()} == {("T", "0")}
+
+
+def test_long_paths_are_flattened_and_swept(spark):
+    from evidentia.session import sweep
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    found = fixpoint.reach(e, spark.createDataFrame([(0,)], "node int"))
+    assert found.count() == 41 and found.explain is not None
+    assert found._jdf.queryExecution().analyzed().toString().count("Relation") <= fixpoint.FLATTEN + 2
+    assert sweep(spark) > 40 and sweep(spark) == 0
