@@ -34,6 +34,7 @@ PURE_RULES = (
     ("math/big", "NewInt NewFloat NewRat Int Float Rat"),
     ("time", "Date Time Month January February March April May June July August September October November December"),
 )
+SYNC_RULES = (("sync", "Mutex RWMutex Lock Unlock RLock RUnlock TryLock TryRLock Pool Get Put"),)
 SOURCE_ONLY = (
     "bufio bytes cmp container/heap container/list container/ring crypto/hmac crypto/md5 crypto/sha1 crypto/sha256 crypto/sha512 crypto/subtle "
     "encoding encoding/asn1 encoding/base64 encoding/binary encoding/csv encoding/hex encoding/json encoding/pem encoding/xml "
@@ -58,7 +59,7 @@ def symbol_rules(spark: SparkSession, rules) -> DataFrame:
 
 
 def pure_rules(spark: SparkSession) -> DataFrame:
-    return symbol_rules(spark, PURE_RULES)
+    return symbol_rules(spark, PURE_RULES + SYNC_RULES)
 
 
 def scan_exempt(spark: SparkSession) -> DataFrame:
@@ -93,3 +94,25 @@ def cause_rank(kind: Column, package_path: Column, observable: Column) -> Column
         .when(kind == KIND["file_io"], 3)
         .otherwise(4)
     )
+
+
+#: Fixed value: generators whose output is audited, the longer name first.
+PROTO_GENERATORS = ("protoc-gen-go-grpc", "protoc-gen-go")
+
+
+def generated_by(line: Column) -> Column:
+    """The audited generator that a comment line names, or ''; other names that begin like one are not audited."""
+    closed = F.coalesce(line.rlike(r"DO NOT EDIT\.\s*$"), F.lit(False))
+    name = F.regexp_extract(line, rf"^// Code generated by ({'|'.join(PROTO_GENERATORS)})[. \t]", 1)
+    return F.when(closed, name).otherwise("")
+
+
+def has_directive(lines: Column, directive: str) -> Column:
+    """A documentation line that is the directive, to the letter."""
+    return F.coalesce(F.exists(lines, lambda x: x == directive), F.lit(False))
+
+
+def includes(text: Column) -> Column:
+    """Quoted and other operands of C include and import lines: comments out, continued lines joined."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\\r?\n", ""), r"(?s)/\*.*?\*/", " "), r"//[^\n]*", "")
+    return F.regexp_extract_all(plain, F.lit(r'(?m)^[ \t]*#[ \t]*(?:include|import)[ \t]*("[^"\n]*"|\S+)'), F.lit(1))

@@ -150,3 +150,14 @@ def dirty(rows: DataFrame, reproducible: DataFrame) -> DataFrame:
     local = rows.filter("kind = 'rel'").join(reproducible, "ident", "left")
     found = local.groupBy("manifest_id").agg(F.bool_or(~F.coalesce("reproducible", F.lit(False))).alias("dirty"))
     return rows.select("manifest_id").distinct().join(found, "manifest_id", "left").select("manifest_id", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+
+
+def paths_of(rows: DataFrame, module_dir: Column) -> DataFrame:
+    """manifest_id, path, module_relative: absolute paths of all identities, and the relative ones of the module."""
+    found = rows.filter("kind in ('rel', 'abs')")
+    return found.select("manifest_id", paths.materialize(module_dir, F.col("kind"), F.col("ident")).alias("path"), F.when(F.col("kind") == "rel", F.col("ident")).alias("module_relative"))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Identities in canonical order."""
+    return rows.orderBy("kind", "ident")
