@@ -63,7 +63,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s in _PACKING:
         if COUNTS[s] > 1:
             too_wide = width > BITS[s]
-            if not too_wide.all():
+            # a selector that would hardly ever be filled is not tried: any choice that fits decodes to the same ids
+            if (1 - too_wide.mean()) ** int(COUNTS[s]) > 1e-3:
                 bad = np.where(too_wide, where, np.int32(n))
                 fits[s] = np.minimum.accumulate(bad[::-1])[::-1]
     cursor, live = starts.copy(), np.arange(len(starts))
@@ -170,38 +171,53 @@ def records(content: bytes, ids: bool = True) -> Iterator[tuple[list[int | None]
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class _Spaced(Exception):
+    """A chunk begins or ends with white space, or is empty: the text is to be cut with more care."""
+
+
 class _Memo(dict):
-    """Chunk of text -> its ids as bytes, each distinct chunk encoded once by the tokenizers library.
+    """Chunk of text -> its ids as bytes, each distinct chunk encoded once by the tokenizers library while it is held.
 
     With a byte-level tokenizer that cuts as this family does, a token never spans a lone space that follows and
     precedes other than white space, and what is left of it has no say in what is right of it; so a text's ids are those
-    of its chunks, one after another. Letters followed by punctuation are two pre-tokens, hence two memo entries.
+    of its chunks, one after another. Letters followed by punctuation are two pre-tokens. Two generations of LIMIT chunks
+    are held: a chunk that is asked for again moves to the newer one, the others go with the older one.
     """
 
-    LIMIT = 600_000
+    LIMIT = 450_000
 
     def __init__(self, tokenizer, lead: str):
         super().__init__()
-        self.tokenizer, self.lead, self.tails = tokenizer, lead, {}
+        self.tokenizer, self.lead, self.tails, self.old = tokenizer, lead, {}, {}
 
     def encode(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, stem: str) -> bytes:
+        if self.lead and stem.isascii():  # one pre-token of ASCII letters: straight to the library's merge model; the byte alphabet writes a space as U+0120
+            return np.array([x.id for x in self.tokenizer.model.tokenize("Ġ" + stem)], "<u4").tobytes()
+        return self.encode(self.lead + stem)
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > self.LIMIT:
+        value = self.old.get(chunk)
+        if value is None:
+            if not chunk or chunk[-1].isspace() or (self.lead and chunk[0].isspace()):
+                raise _Spaced
+            stem = chunk.rstrip(_PUNCTUATION)
+            if not stem.isalpha():
+                value = self.encode(self.lead + chunk)
+            elif len(stem) == len(chunk):
+                value = self.word(chunk)
+            else:
+                tail = chunk[len(stem) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = self.encode(tail)
+                value = (self.get(stem) or self.old.get(stem) or self.word(stem)) + self.tails[tail]
+        if len(self) >= self.LIMIT:
+            self.old = dict(self)
             self.clear()
-        stem = chunk.rstrip(_PUNCTUATION)
-        if len(stem) < len(chunk) and stem.isalpha():
-            tail = chunk[len(stem) :]
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self.encode(tail)
-            value = self[stem] + self.tails[tail]
-        elif not self.lead or not chunk.isascii() or not chunk.isalpha():
-            value = self.encode(self.lead + chunk)
-        else:  # one pre-token of ASCII letters: straight to the library's merge model; the byte alphabet writes a space as U+0120
-            value = np.array([x.id for x in self.tokenizer.model.tokenize("Ġ" + chunk)], "<u4").tobytes()
         self[chunk] = value
         return value
 
@@ -210,29 +226,29 @@ class TextEncoder:
     """Ids of whole texts under a byte-level BPE tokenizer file; special tokens' strings count as ordinary text."""
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.first, self.rest = _Memo(self.tokenizer, ""), _Memo(self.tokenizer, " ")
-        self.spaced = re.compile(r"\s |  | \s|^\s|\s$").search
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.spaced(text):  # runs of white space are cut by what follows them: take the pieces between them whole
-            return self.first.encode(text) if len(text) < 200 else self._by_lines(text)
         head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+        try:
+            return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+        except _Spaced:
+            return self._careful(text)
 
-    def _by_lines(self, text: str) -> bytes:
-        """Cut only at lone spaces between other than white space."""
+    def _careful(self, text: str) -> bytes:
+        """Cut only at lone spaces between other than white space; the first and last piece may have white space outside."""
         import re
 
-        head, *rest = re.split(r"(?<=\S) (?=\S)", text)
-        return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+        pieces = re.split(r"(?<=\S) (?=\S)", text)
+        if len(pieces) == 1:
+            return self.first.encode(text)
+        return self.first.encode(pieces[0]) + b"".join(map(self.rest.__getitem__, pieces[1:-1])) + self.rest.encode(" " + pieces[-1])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
