@@ -204,7 +204,9 @@ def dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
     counted = stay.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
     counted = materialise(counted, "kept")
     repeated = counted.filter("n > 1 or doc_id is null").limit(1).count()
-    out = rows.join(counted.select(F.col("doc_id").alias("_kept")), F.col("_fp_id") == F.col("_kept"), "left_semi").drop("_fp_id")
+    # ids that stay grow with the input: the same shuffle at every size, never a broadcast
+    ids = counted.select(F.col("doc_id").alias("_kept")).hint("merge")
+    out = rows.join(ids, F.col("_fp_id") == F.col("_kept"), "left_semi").drop("_fp_id")
     if repeated:
         out = _one_each(docs, classes)
     return out
