@@ -47,11 +47,6 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def scaled_partitions(df: DataFrame, rows: int, per_partition: int) -> int:
-    """Partitions for so many rows: in proportion to the input, never fewer than the session's cores could use."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_partition))
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the named string column holds about max_bytes in each; a longer text stays whole."""
     for batch in batches:
