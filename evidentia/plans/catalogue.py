@@ -374,6 +374,15 @@ def carrier_components(spark, d):
     return fixpoint.components(links)
 
 
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS own ON own.node = e.b WHERE r.root < own.root GROUP BY e.b)
+SELECT node, root FROM r""")
+def carrier_components_all(spark, d):
+    """Every link of lineitem, none left out; suppliers are the even nodes, parts the odd ones."""
+    links = t(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    return fixpoint.components(links)
+
+
 @query("""WITH RECURSIVE r AS (SELECT DISTINCT 'f' || (p_partkey % 300) AS callee, CASE WHEN p_partkey % 300 >= 150 AND p_partkey % 7 = 0 THEN 'prog' WHEN p_partkey % 300 < 20 THEN 'init' ELSE 'f' || ((p_partkey % 300) // 2) END AS region FROM part),
 bad(node) AS (SELECT callee FROM r WHERE region = 'prog' UNION SELECT callee FROM bad JOIN r ON region = node) SELECT DISTINCT callee AS node FROM r WHERE callee NOT IN (SELECT node FROM bad)""")
 def init_only_forall(spark, d):
