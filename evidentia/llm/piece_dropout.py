@@ -2,10 +2,11 @@
 
 Merge-type (BPE) segmentation with a SentencePiece model's pieces and scores: a chunk's characters are symbols; an agenda
 holds every pair of neighbours whose join is a piece, best score first, leftmost of equals first; taking a pair joins it and
-adds the pairs that the join makes. With dropout, each candidate that comes up is skipped if a keyed hash of seed, variant,
-chunk, place and piece falls below the rate: no state, so that a retried task gives the same ids. A chunk's variant (one of
-`variants`) comes from seed, document and place, so that one word is cut in several ways over a corpus, and a memo of chunk
-and variant remains worth having. Without dropout (rate 0) the segmentation is the model's own.
+adds the pairs that the join makes. With dropout, each candidate that comes up is skipped if a keyed hash of seed, document,
+place of the chunk, place in the chunk and piece falls below the rate: no state, so that a retried task gives the same ids.
+What is memoised has no hash in it: a tree for each chunk, whose nodes are its segmentations after given skips with the
+candidates that come up there. Every occurrence hashes its own candidates and goes down the tree by the first one skipped.
+Without dropout (rate 0) the segmentation is the model's own.
 
 Chunks are runs of spaces with the word behind them: no piece spans a space inside. Characters without a piece become byte
 pieces. A literal U+2581 in a text is written as its three byte pieces, which keeps decoding lossless for every text.
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,20 @@ def keyed(key: int, piece: int, place: int) -> int:
     return h ^ (h >> 13)
 
 
+def salted(piece: int, place: int) -> int:
+    """What of a candidate enters keyed(), as 32 bits."""
+    return ((piece * 0x85EBCA77) ^ (place * 0xC2B2AE3D)) & 0xFFFFFFFF
+
+
+def keyed_salted(x: np.ndarray) -> np.ndarray:
+    """keyed() over uint32, of key ^ salted()."""
+    h = x * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    return h
+
+
 def keyed_many(key: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
     """keyed(), elementwise over uint64."""
     low = np.uint64(0xFFFFFFFF)
@@ -113,10 +130,18 @@ class Pieces:
             cost[keyed_many(key, joined.astype(np.uint64), place.astype(np.uint64)) < limit] = np.inf
         return joined, cost
 
-    def segment_many(self, chunks: list[str], rate: float, keys: np.ndarray) -> list[bytes]:
+    def segment_many(self, chunks: list[str], rate: float, keys: np.ndarray, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
         """segment() of many chunks at once (ids as bytes): all agendas advance together, a merge of each chunk a step. A
-        candidate's hash does not depend on when it comes up, so it is skipped when it would enter the agenda."""
+        candidate's hash does not depend on when it comes up, so it is skipped when it would enter the agenda. taken gets
+        the candidates taken: numbers of chunks and salts, those of a chunk in order."""
         out: list[bytes] = [b""] * len(chunks)
+
+        def one(r: int) -> None:
+            own: list[int] = []
+            out[r] = np.array(self.segment(chunks[r], rate, int(keys[r]), taken=own), "<u4").tobytes()
+            if taken is not None:
+                taken.append((np.full(len(own), r), np.array(own, np.uint32)))
+
         lengths = np.array([len(c) for c in chunks])
         limit = int(rate * 2**32)
         order = np.argsort(lengths, kind="stable")
@@ -126,7 +151,7 @@ class Pieces:
             width = int(lengths[rows].max())
             if width > 40:
                 for r in rows.tolist():
-                    out[r] = np.array(self.segment(chunks[r], rate, int(keys[r])), "<u4").tobytes()
+                    one(r)
                 continue
             code = np.array([chunks[r] for r in rows.tolist()], f"<U{width}").view("<u4").reshape(len(rows), width)
             sym = self.of_char[np.minimum(code, len(self.of_char) - 1)]
@@ -134,7 +159,7 @@ class Pieces:
             inside = np.arange(width) < size[:, None]
             odd = ((sym < 0) & inside).any(1)
             for r in rows[odd].tolist():
-                out[r] = np.array(self.segment(chunks[r], rate, int(keys[r])), "<u4").tobytes()
+                one(r)
             rows, sym, size = rows[~odd], np.where(inside, sym, -1)[~odd], size[~odd]
             key = keys[rows]
             place = np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy()
@@ -150,6 +175,8 @@ class Pieces:
                 if not len(live):
                     break
                 new = joined[live, best]
+                if taken is not None:
+                    taken.append((rows[live], (new.astype(np.uint32) * np.uint32(0x85EBCA77)) ^ (place[live, best].astype(np.uint32) * np.uint32(0xC2B2AE3D))))
                 shift = np.minimum(at_all + (at_all > best[:, None]), width - 1)
                 for a in (sym, place, joined, cost):
                     a[live] = np.take_along_axis(a[live], shift, 1)
@@ -168,8 +195,10 @@ class Pieces:
                 out[r] = row[:n].tobytes()
         return out
 
-    def segment(self, chunk: str, rate: float = 0.0, key: int = 0) -> list[int]:
-        """Ids of a chunk; key: what the dropout's hashes are keyed with."""
+    def segment(self, chunk: str, rate: float = 0.0, key: int = 0, skips: tuple[int, ...] = (), taken: list[int] | None = None) -> list[int]:
+        """Ids of a chunk; key: what the dropout's hashes are keyed with; skips: salts of candidates skipped besides, in the
+        order in which they come up; taken gets the salts of those taken after the last of skips has come up."""
+        last = skips[-1] if skips else None
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
         rank, ids = self.rank, self.ids
@@ -193,6 +222,14 @@ class Pieces:
             if limit:
                 if keyed(key, ids[joined], i) < limit:
                     continue
+            if taken is not None:
+                salt = salted(ids[joined], i)
+                if salt in skips:
+                    if salt == last:
+                        last = None
+                        taken.clear()
+                    continue
+                taken.append(salt)
             symbols[i], symbols[j] = joined, None
             k = after[i] = after[j]
             if k < n:
@@ -215,64 +252,117 @@ class Pieces:
         return out
 
 
-class _Memo(dict):
-    LIMIT = 150_000
-
-    def __init__(self, pieces: Pieces, rate: float, seed: int):
-        super().__init__()
-        self.pieces, self.rate, self.seed = pieces, rate, seed
+class _Trees:
+    """Segmentations by chunk and candidates skipped. A node's candidates lie side by side in salt and child; child: the node
+    where that candidate is the next one skipped, or -1."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        from xxhash import xxh64_intdigest
+    LIMIT = 600_000
 
-        if len(self) > self.LIMIT:
-            self.clear()
-        key = xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed) & 0xFFFFFFFF
-        value = np.array(self.pieces.segment(chunk, self.rate, key), "<u4").tobytes()
-        if len(chunk) < 64:
-            self[chunk] = value
-        return value
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
 
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.of: list[tuple[str, tuple[int, ...]]] = []
+        self.start, self.count, self.salt, self.child = array("q"), array("q"), array("I"), array("q")
 
     def learn(self, chunks: set[str]) -> None:
-        """Segment chunks that are not held yet, all at once."""
-        from xxhash import xxh64_intdigest
-
-        new = [c for c in sorted(chunks) if len(c) < 64]
-        keys = np.array([xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed) & 0xFFFFFFFF for c in new], np.uint64)
-        self.update(zip(new, self.pieces.segment_many(new, self.rate, keys)))
+        """Roots of chunks that are not held yet, all at once."""
+        new = sorted(chunks)
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        found = self.pieces.segment_many(new, 0.0, np.zeros(len(new), np.uint64), taken)
+        row = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in taken)])
+        order = np.argsort(row, kind="stable")
+        salts = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in taken)])[order]
+        ends = np.searchsorted(row[order], np.arange(len(new) + 1)).astype(np.int64)
+        self.roots.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        self.ids.extend(found)
+        self.of.extend((c, ()) for c in new)
+        self.start.frombytes((ends[:-1] + len(self.salt)).tobytes())
+        self.count.frombytes(np.diff(ends).tobytes())
+        self.salt.frombytes(salts.tobytes())
+        self.child.frombytes(np.full(len(salts), -1, np.int64).tobytes())
+
+    def grow(self, node: int, candidate: int) -> int:
+        chunk, skips = self.of[node]
+        skips = (*skips, self.salt[candidate])
+        taken: list[int] = []
+        ids = np.array(self.pieces.segment(chunk, skips=skips, taken=taken), "<u4").tobytes()
+        self.child[candidate] = made = len(self.ids)
+        self.ids.append(ids)
+        self.of.append((chunk, skips))
+        self.start.append(len(self.salt))
+        self.count.append(len(taken))
+        self.salt.extend(taken)
+        self.child.extend([-1] * len(taken))
+        return made
+
+    def arrays(self) -> list[np.ndarray]:
+        return [np.array(a) for a in (self.start, self.count, self.salt, self.child)]
 
 
 class PieceCoder:
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 4, variants: int = 4):
-        self.pieces, self.seed = Pieces(path), seed
-        self.memos = [_Memo(self.pieces, rate, (seed * 1_000_003 + v) & _M64) for v in range(variants if rate else 1)]
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 4):
+        self.pieces, self.rate, self.seed = Pieces(path), rate, seed
+        self.trees = _Trees(self.pieces)
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
 
     def encode_many(self, batch: list[str], keys: list[int]) -> list[np.ndarray]:
-        memos = self.memos
-        for m in memos:
-            if len(m) > m.LIMIT:
-                m.clear()
-        plans: list[list[tuple[list[int], list[str]]]] = []
-        new: list[set[str]] = [set() for _ in memos]
+        chunks: list[str] = []
+        places: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        plans: list[list[tuple[int, int]]] = []
         for text, key in zip(batch, keys):
             plan = []
             for k, part in enumerate(text.split(SPACE) if text else []):
-                chunks = self._chunks((" " + part if not k else part).replace(" ", SPACE))
-                start = np.uint64(((key & _M64) * 0x9E3779B97F4A7C15 + self.seed + k) & _M64)
-                which = (mix(np.arange(len(chunks), dtype=np.uint64) + mix(np.array([start]))[0]) % np.uint64(len(memos))).tolist()
-                for v, c in zip(which, chunks):
-                    if c not in memos[v]:
-                        new[v].add(c)
-                plan.append((which, chunks))
+                own = self._chunks((" " + part if not k else part).replace(" ", SPACE))
+                start = np.uint64(((key & _M64) * 0x9E3779B97F4A7C15 + self.seed * 1_000_003 + k) & _M64)
+                places.append((mix(np.arange(len(own), dtype=np.uint64) + mix(np.array([start]))[0]) >> np.uint64(32)).astype(np.uint32))
+                plan.append((len(chunks), len(chunks) + len(own)))
+                chunks.extend(own)
             plans.append(plan)
-        for m, chunks in zip(memos, new):
-            m.learn(chunks)
+        coded = self._coded(chunks, np.concatenate(places))
         mark = np.array(self.pieces.fallback(SPACE), "<u4").tobytes()
-        return [np.frombuffer(mark.join(b"".join([memos[v][c] for v, c in zip(which, chunks)]) for which, chunks in plan), "<u4") for plan in plans]
+        return [np.frombuffer(mark.join(b"".join(coded[a:b]) for a, b in plan), "<u4") for plan in plans]
+
+    def _coded(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of every occurrence of a chunk, by its own key."""
+        trees = self.trees
+        if len(trees.ids) > trees.LIMIT:
+            trees.clear()
+        trees.learn({c for c in set(chunks).difference(trees.roots) if len(c) < 64})
+        node = np.fromiter(map(trees.roots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        alone = [np.nonzero(node < 0)[0]]
+        live = np.nonzero(node >= 0)[0] if self.rate else np.zeros(0, np.int64)
+        limit = int(self.rate * 2**32)
+        while len(live):
+            start, count, salt, child = trees.arrays()
+            live = live[count[node[live]] > 0]
+            n = count[node[live]]
+            ends = np.cumsum(n)
+            at = np.arange(n.sum()) + np.repeat(start[node[live]] - (ends - n), n)
+            skipped = np.nonzero(keyed_salted(np.repeat(keys[live], n) ^ salt[at]) < limit)[0]
+            owner = np.searchsorted(ends, skipped, side="right")
+            first = np.ones(len(owner), bool)
+            first[1:] = owner[1:] != owner[:-1]
+            live, at = live[owner[first]], at[skipped[first]]
+            down = child[at]
+            new, where, back, times = np.unique(np.where(down < 0, at, -1), return_index=True, return_inverse=True, return_counts=True)
+            # a node for what comes up twice; a single occurrence is segmented by itself, with the same ids
+            made = np.array([trees.grow(int(node[live[w]]), c) if c >= 0 and k > 1 else -1 for c, w, k in zip(new.tolist(), where.tolist(), times.tolist())], np.int64)
+            down = np.where(down < 0, made[back], down) if len(new) else down
+            alone.append(live[down < 0])
+            live, down = live[down >= 0], down[down >= 0]
+            node[live] = down
+        out = [trees.ids[k] if k >= 0 else b"" for k in node.tolist()]
+        rest = np.concatenate(alone)
+        found = self.pieces.segment_many([chunks[i] for i in rest.tolist()], self.rate, keys[rest].astype(np.uint64))
+        for i, ids in zip(rest.tolist(), found):
+            out[i] = ids
+        return out
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -296,14 +386,14 @@ def coder(*args) -> PieceCoder:
     return _CODERS[args]
 
 
-def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 4, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ids (array<int>), n_pieces and lossless (its ids decode to the text itself)."""
     kept = docs.drop("ids", "n_pieces", "lossless")
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model, rate, seed, variants)
+        c = coder(model, rate, seed)
         for batch in slices(batches, text_col, 2 << 20):
             keys = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             whole = texts(batch, text_col)
