@@ -17,17 +17,22 @@ records of bounded size (a longer document makes one record by itself).
 
 Edge cases: a null text is an empty one (only the end id); a null document id sorts first and comes back null; repeated
 ids are kept as separate documents, in any order among themselves; an empty table gives no documents; extra columns are
-ignored.
+ignored. The string of an added token in a text is that token's id, as the library has it.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,87 +173,123 @@ def records(content: bytes, ids: bool = True) -> Iterator[tuple[list[int | None]
         at += length + 1
 
 
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+def _byte_alphabet() -> dict[int, str]:
+    """How a byte-level tokenizer writes each byte: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = (b for b in range(256) if b not in set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Spaced(Exception):
-    """A chunk begins or ends with white space, or is empty: the text is to be cut with more care."""
+_ALPHABET = _byte_alphabet()
+#: Characters below U+0250, whose classes no Unicode version moves, by class of the byte-level cutting rule.
+_LATIN = [chr(c) for c in range(33, 0x250) if chr(c) not in "'\x7f" and not chr(c).isspace()]
+_LETTERS = "".join(c for c in _LATIN if c.isalpha())
+_NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
+_OTHERS = "".join(c for c in _LATIN if c not in _LETTERS and c not in _NUMBERS)
+#: A chunk of such characters, where single newlines may stand between others, and its pre-tokens. No apostrophes.
+_PLAIN = re.compile(f"[{re.escape(''.join(_LATIN))}]+(?:\n[{re.escape(''.join(_LATIN))}]+)*")
+_CUT = re.compile(f" ?[{_LETTERS}]+| ?[{re.escape(_NUMBERS)}]+| ?[{re.escape(_OTHERS)}]+|\n")
 
 
 class _Memo(dict):
-    """Chunk of text -> its ids as bytes, each distinct chunk encoded once by the tokenizers library while it is held.
+    """Keeps what make() gave for a key, in two generations of `limit` keys: a key that is asked for again moves to the newer
+    one, the others go with the older one. Nothing that is forgotten is lost, it is made anew."""
 
-    With a byte-level tokenizer that cuts as this family does, a token never spans a lone space that follows and
-    precedes other than white space, and what is left of it has no say in what is right of it; so a text's ids are those
-    of its chunks, one after another. Letters followed by punctuation are two pre-tokens. Two generations of LIMIT chunks
-    are held: a chunk that is asked for again moves to the newer one, the others go with the older one.
-    """
-
-    LIMIT = 450_000
-
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.tokenizer, self.lead, self.tails, self.old = tokenizer, lead, {}, {}
-
-    def encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def word(self, stem: str) -> bytes:
-        if self.lead and stem.isascii():  # one pre-token of ASCII letters: straight to the library's merge model; the byte alphabet writes a space as U+0120
-            return np.array([x.id for x in self.tokenizer.model.tokenize("Ġ" + stem)], "<u4").tobytes()
-        return self.encode(self.lead + stem)
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.old.get(chunk)
+    def __missing__(self, key: str):
+        value = self.old.get(key)
         if value is None:
-            if not chunk or chunk[-1].isspace() or (self.lead and chunk[0].isspace()):
-                raise _Spaced
-            stem = chunk.rstrip(_PUNCTUATION)
-            if not stem.isalpha():
-                value = self.encode(self.lead + chunk)
-            elif len(stem) == len(chunk):
-                value = self.word(chunk)
-            else:
-                tail = chunk[len(stem) :]
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails.clear()
-                    self.tails[tail] = self.encode(tail)
-                value = (self.get(stem) or self.old.get(stem) or self.word(stem)) + self.tails[tail]
-        if len(self) >= self.LIMIT:
+            value = self.make(key)
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[chunk] = value
+        self[key] = value
         return value
 
 
+def _byte_level(path: str) -> tuple[bool, list[str]]:
+    """Whether a tokenizer file has the byte-level cutting rule alone, so that texts may be cut at lone spaces, and the
+    strings that it takes out of a text before."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    rule = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    merges = model.get("type") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    whole = spec.get("normalizer") is None and not spec.get("truncation") and not spec.get("padding")
+    return bool(rule and merges and whole), [x["content"] for x in spec.get("added_tokens", [])]
+
+
 class TextEncoder:
-    """Ids of whole texts under a byte-level BPE tokenizer file; special tokens' strings count as ordinary text."""
+    """Ids of whole texts as the library gives them without added special tokens, as bytes.
+
+    With a byte-level tokenizer of the rule that _byte_level() checks, a token never spans a lone space that follows and
+    precedes other than white space, and what is left of it has no say in what is right of it; so a text's ids are those
+    of its chunks, one after another. Each distinct chunk of a batch is looked up once. A plain chunk is cut into its
+    pre-tokens here, which go straight to the library's merge model, once while they are held; any other chunk is encoded
+    whole. Where the tokenizer is not of that kind, or a text holds the string of an added token, the library encodes the
+    whole text at once.
+    """
+
+    WORDS = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first, self.rest = _Memo(self.tokenizer, ""), _Memo(self.tokenizer, " ")
+        self.cuts, added = _byte_level(path)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.model = self.tokenizer.model
+        self.words = _Memo(self._word, self.WORDS)
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        try:
-            return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
-        except _Spaced:
-            return self._careful(text)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, batch: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [b"" if not x else self._whole(x) if not self.cuts or (self.added and self.added.search(x)) else None for x in batch]
+        rows = [i for i, x in enumerate(out) if x is None]
+        cut = pc.split_pattern(pa.array([batch[i] for i in rows], pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        # None: begins or ends with white space, or is empty, so that its text is to be cut with more care
+        value = [None if not x or x[0].isspace() or x[-1].isspace() else self._ids(x, " ") for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        each = list(map(value.__getitem__, coded.indices.to_numpy().tolist()))
+        ends = cut.offsets.to_pylist()
+        for i, a, b in zip(rows, ends, ends[1:]):
+            head = batch[i][: batch[i].find(" ")] if b - a > 1 else batch[i]
+            own = each[a + 1 : b]
+            if not head or head[-1].isspace() or None in own:
+                out[i] = self._careful(batch[i])
+            else:
+                out[i] = self._ids(head, "") + b"".join(own)
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_ALPHABET)
+        elif piece[0] <= " ":
+            piece = _ALPHABET[ord(piece[0])] + piece[1:]
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
+    def _ids(self, chunk: str, lead: str) -> bytes:
+        """Ids of a chunk behind `lead`, a space or nothing."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[lead + chunk]
+        if _PLAIN.fullmatch(chunk):
+            return b"".join(map(self.words.__getitem__, _CUT.findall(lead + chunk)))
+        return self._whole(lead + chunk)
 
     def _careful(self, text: str) -> bytes:
         """Cut only at lone spaces between other than white space; the first and last piece may have white space outside."""
-        import re
-
         pieces = re.split(r"(?<=\S) (?=\S)", text)
         if len(pieces) == 1:
-            return self.first.encode(text)
-        return self.first.encode(pieces[0]) + b"".join(map(self.rest.__getitem__, pieces[1:-1])) + self.rest.encode(" " + pieces[-1])
+            return self._whole(text)
+        return self._whole(pieces[0]) + b"".join(self._ids(x, " ") for x in pieces[1:-1]) + self._whole(" " + pieces[-1])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -268,11 +309,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", record_bytes):
-            coded = [enc(x) + end for x in texts(batch, "text")]
-            counts = np.array([len(x) // 4 for x in coded], np.int64)
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([record(batch.column(0).to_pylist(), counts, ids)], pa.binary())], ["value"])
+        for wide in slices(batches, "text", max(record_bytes, 8 << 20)):
+            coded = [x + end for x in enc.encode_many(texts(wide, "text"))]
+            at = 0
+            for batch in slices(iter([wide]), "text", record_bytes):
+                own = coded[at : at + batch.num_rows]
+                at += batch.num_rows
+                counts = np.array([len(x) // 4 for x in own], np.int64)
+                ids = np.frombuffer(b"".join(own), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([record(batch.column(0).to_pylist(), counts, ids)], pa.binary())], ["value"])
 
     spread = narrow.repartitionByRange("id").sortWithinPartitions("id")
     raw = spread.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -283,8 +328,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids array is not kept;
     ids_crc32 covers all its ids as little-endian unsigned 32-bit integers."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content").withColumn("path", F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", 0))
-    order = F.struct(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), F.regexp_extract("path", r"-c(\d+)", 1).cast("long").alias("piece"))
+    # the last -c<number> is the writer's count of files; the job's UUID before it may hold the like
+    names = r"part-(\d+)-[^/]*-c(\d+)[^/]*$"
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", names, 0).alias("path"), "content")
+    order = [F.regexp_extract("path", names, k).cast("long").alias(n) for k, n in ((1, "part"), (2, "piece"))]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,9 +350,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["path", "total"])
 
     rows = files.mapInArrow(decode, "path string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
-    per_file = files.mapInArrow(totals, "path string, total long")  # one row a file
-    before = F.sum("total").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    per_file = per_file.select("path", F.coalesce(before, F.lit(0)).alias("file_start"))
+    per_file = files.mapInArrow(totals, "path string, total long").select("path", "total", *order)  # one row a file
+    per_part = per_file.groupBy("part").agg(F.sum("total").alias("total"))  # one row a task of the writer
+    earlier = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per_part = per_part.select("part", earlier.alias("part_start"))
+    inside = F.coalesce(F.sum("total").over(W.partitionBy("part").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per_file = per_file.withColumn("inside", inside).join(per_part, "part").select("path", (F.col("part_start") + F.col("inside")).alias("file_start"))
     return rows.join(per_file, "path").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -32,7 +32,6 @@ def test_blocks_are_independent():
 
 def test_encoder_is_the_library(spark, sf):
     lib = Tokenizer.from_file(BPE)
-    lib.encode_special_tokens = True
     enc = t.TextEncoder(BPE)
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
     for x in texts * 2:
@@ -50,10 +49,45 @@ def test_encoder_property(texts):
 
 def test_memo_generations():
     enc = t.TextEncoder(BPE)
-    enc.rest.LIMIT = 3
+    enc.words.limit = 3
     text = "a b c d e f g b c d e f g the the, the."
     lib = Tokenizer.from_file(BPE)
-    assert np.frombuffer(enc(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids and len(enc.rest) <= 3
+    assert np.frombuffer(enc(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids and len(enc.words) <= 3
+
+
+def test_added_tokens_are_the_librarys():
+    text = "one <|endoftext|>two three <|endoftext|>"
+    ids = np.frombuffer(t.TextEncoder(BPE)(text), "<u4").tolist()
+    assert ids == Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids and ids.count(50256) == 2
+
+
+def test_plain_chunks_of_every_latin_character():
+    lib, enc = Tokenizer.from_file(BPE), t.TextEncoder(BPE)
+    for c in map(chr, range(1, 0x260)):
+        text = f"a{c}b {c} 1{c} {c}{c}, x.\n{c}y"
+        assert np.frombuffer(enc(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_a_tokenizer_of_another_kind_is_not_cut():
+    path = P.path("word_bpe_49k.json")
+    lib, enc = Tokenizer.from_file(path), t.TextEncoder(path)
+    for x in ODD:
+        assert np.frombuffer(enc(x), "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids, x
+
+
+def test_order_of_files_is_not_read_from_the_jobs_name(spark, tmp_path):
+    """A job's UUID may hold what looks like a file's number."""
+    docs = [(k, "x " * (7 * k % 5 + 1)) for k in range(8)]
+    path = t.write_token_files(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), new_path(spark, "t"), BPE, record_bytes=1, records_per_file=1)
+    names = sorted(f.path for f in spark.read.format("binaryFile").load(path).select("path").collect())
+    for name in names:
+        raw = open(name.removeprefix("file:"), "rb").read()
+        tail = name.rsplit("/", 1)[1]
+        part, piece = tail.split("-")[1], tail.rsplit("-c", 1)[1]
+        (tmp_path / f"part-{part}-8f0e2a51-c12f-4c07-b-c3a1-{'%012d' % (97 - len(raw))}-c{piece}").write_bytes(raw)
+    got = sorted(t.read_token_files(spark, f"file://{tmp_path}").collect(), key=lambda r: r.doc_id)
+    ends = np.cumsum([r.n_tokens for r in got]).tolist()
+    assert [r.start for r in got] == [0, *ends[:-1]] and any(n.rsplit("-c", 1)[1][:3] > "001" for n in names)
 
 
 def test_query(spark, sf):
