@@ -26,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,42 @@ def keyed_many(key: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndar
     return h ^ (h >> np.uint64(13))
 
 
+class _PairTable:
+    """Pieces by pairs of pieces: slots by hash, in levels. What finds its slot taken goes to the next level, so an empty slot
+    ends a search, and nearly all searches end at the first level."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels = []
+        while len(keys):
+            bits = max(10, int(len(keys)).bit_length() + 2)
+            slot = self._slot(keys, bits, len(self.levels))
+            _, first = np.unique(slot, return_index=True)
+            held, value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            held[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.levels.append((bits, held, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The piece of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.arange(len(keys))
+        for level, (bits, held, value) in enumerate(self.levels):
+            slot = self._slot(keys, bits, level)
+            there = held[slot]
+            hit = there == keys
+            out[open_[hit]] = value[slot[hit]]
+            more = ~hit & (there >= 0)
+            open_, keys = open_[more], keys[more]
+        return out
+
+
 class Pieces:
     """A model's pieces: ids and merge priorities by text, byte pieces, and the bytes of every id."""
 
@@ -109,39 +146,34 @@ class Pieces:
                 left, right = self.ids.get(piece[:k]), self.ids.get(piece[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        self.pairs = _PairTable(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32))
         order = np.full(len(self.raw), np.inf, np.float32)
         for piece, i in self.ids.items():
             order[i] = self.rank[piece]
         self.order = order
+        self.raw_array = pa.array(self.raw, pa.large_binary())
 
     def fallback(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
 
     def _candidates(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Joined piece and priority of pairs of neighbours; infinite where there is none or the hash skips it."""
-        wanted = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
-        found = (self.pair_keys[at] == wanted) & (left >= 0) & (right >= 0)
-        joined = np.where(found, self.pair_ids[at], 0)
-        cost = np.where(found, self.order[joined], np.float32(np.inf))
+        both = np.nonzero((left >= 0) & (right >= 0))[0]
+        found = self.pairs.find(left[both].astype(np.int64) << 32 | right[both])
+        both, found = both[found >= 0], found[found >= 0]
         if limit:
-            cost[keyed_many(key, joined.astype(np.uint64), place.astype(np.uint64)) < limit] = np.inf
+            go = keyed_many(key[both], found.astype(np.uint64), place[both].astype(np.uint64)) >= limit
+            both, found = both[go], found[go]
+        joined, cost = np.zeros(len(left), np.int32), np.full(len(left), np.inf, np.float32)
+        joined[both], cost[both] = found, self.order[found]
         return joined, cost
 
     def segment_many(self, chunks: list[str], rate: float, keys: np.ndarray, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
-        """segment() of many chunks at once (ids as bytes): all agendas advance together, a merge of each chunk a step. A
-        candidate's hash does not depend on when it comes up, so it is skipped when it would enter the agenda. taken gets
-        the candidates taken: numbers of chunks and salts, those of a chunk in order."""
+        """segment() of many chunks at once (ids as bytes): all agendas advance together, a merge of each chunk a step, over
+        symbols that are linked to their neighbours. A candidate's hash does not depend on when it comes up, so it is
+        skipped when it would enter the agenda. taken gets the candidates taken: numbers of chunks and salts, those of a
+        chunk in order."""
         out: list[bytes] = [b""] * len(chunks)
-
-        def one(r: int) -> None:
-            own: list[int] = []
-            out[r] = np.array(self.segment(chunks[r], rate, int(keys[r]), taken=own), "<u4").tobytes()
-            if taken is not None:
-                taken.append((np.full(len(own), r), np.array(own, np.uint32)))
-
         lengths = np.array([len(c) for c in chunks])
         limit = int(rate * 2**32)
         order = np.argsort(lengths, kind="stable")
@@ -151,48 +183,55 @@ class Pieces:
             width = int(lengths[rows].max())
             if width > 40:
                 for r in rows.tolist():
-                    one(r)
+                    own: list[int] = []
+                    out[r] = np.array(self.segment(chunks[r], rate, int(keys[r]), taken=own), "<u4").tobytes()
+                    if taken is not None:
+                        taken.append((np.full(len(own), r), np.array(own, np.uint32)))
                 continue
+            # flat arrays of width + 1 places a chunk; the last is no symbol. Symbols: a piece; -1 for none, below: a character
+            wide = width + 1
             code = np.array([chunks[r] for r in rows.tolist()], f"<U{width}").view("<u4").reshape(len(rows), width)
-            sym = self.of_char[np.minimum(code, len(self.of_char) - 1)]
-            size = lengths[rows].copy()
-            inside = np.arange(width) < size[:, None]
-            odd = ((sym < 0) & inside).any(1)
-            for r in rows[odd].tolist():
-                one(r)
-            rows, sym, size = rows[~odd], np.where(inside, sym, -1)[~odd], size[~odd]
+            sym = np.full((len(rows), wide), -1, np.int32)
+            sym[:, :width] = self.of_char[np.minimum(code, len(self.of_char) - 1)]
+            alive = np.arange(wide) < lengths[rows][:, None]
+            odd = alive & (sym < 0)
+            sym[~alive] = -1
+            sym[odd] = -2 - code[odd[:, :width]].astype(np.int32)
+            sym, alive = sym.ravel(), alive.ravel()
+            at = np.arange(len(sym))
+            column = np.tile(np.arange(wide), len(rows))
+            after, before = at + (column < width), at - 1
             key = keys[rows]
-            place = np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy()
-            joined, cost = np.zeros((len(rows), width), np.int32), np.full((len(rows), width), np.inf, np.float32)
-            if width > 1:
-                joined[:, :-1], cost[:, :-1] = self._candidates(sym[:, :-1], sym[:, 1:], key[:, None], place[:, :-1], limit)
+            joined, cost = self._candidates(sym, sym[after], np.repeat(key, wide), column, limit)
             live = np.arange(len(rows))
-            at_all = np.arange(width)
+            table_ = cost.reshape(len(rows), wide)
             while len(live):
-                best = cost[live].argmin(1)
-                going = np.isfinite(cost[live, best])
-                live, best = live[going], best[going]
+                best = table_[live].argmin(1)
+                spot = live * wide + best
+                going = np.isfinite(cost[spot])
+                live, best, spot = live[going], best[going], spot[going]
                 if not len(live):
                     break
-                new = joined[live, best]
+                new, gone = joined[spot], after[spot]
                 if taken is not None:
-                    taken.append((rows[live], (new.astype(np.uint32) * np.uint32(0x85EBCA77)) ^ (place[live, best].astype(np.uint32) * np.uint32(0xC2B2AE3D))))
-                shift = np.minimum(at_all + (at_all > best[:, None]), width - 1)
-                for a in (sym, place, joined, cost):
-                    a[live] = np.take_along_axis(a[live], shift, 1)
-                sym[live, -1], cost[live, -1] = -1, np.inf
-                sym[live, best] = new
-                size[live] -= 1
-                if width > 1:
-                    right = np.minimum(best + 1, width - 1)
-                    j, c = self._candidates(new, np.where(best + 1 < width, sym[live, right], -1), key[live], place[live, best], limit)
-                    joined[live, best], cost[live, best] = j, c
-                    has = best > 0
-                    l, b = live[has], best[has]
-                    joined[l, b - 1], cost[l, b - 1] = self._candidates(sym[l, b - 1], new[has], key[l], place[l, b - 1], limit)
-            flat = sym.astype("<u4")
-            for r, n, row in zip(rows.tolist(), size.tolist(), flat):
-                out[r] = row[:n].tobytes()
+                    taken.append((rows[live], (new.astype(np.uint32) * np.uint32(0x85EBCA77)) ^ (best.astype(np.uint32) * np.uint32(0xC2B2AE3D))))
+                behind = after[gone]
+                sym[spot], after[spot], before[behind] = new, behind, spot
+                alive[gone], cost[gone] = False, np.inf
+                joined[spot], cost[spot] = self._candidates(new, sym[behind], key[live], best, limit)
+                has = best > 0
+                ahead = before[spot[has]]
+                joined[ahead], cost[ahead] = self._candidates(sym[ahead], new[has], key[live[has]], column[ahead], limit)
+            size = alive.reshape(len(rows), wide).sum(1)
+            ends = np.cumsum(size)
+            raw = sym[alive].astype("<i4").tobytes()
+            for r, a, b in zip(rows.tolist(), (4 * (ends - size)).tolist(), (4 * ends).tolist()):
+                out[r] = raw[a:b]
+            for k in np.nonzero(odd.any(1))[0].tolist():
+                ids = []
+                for x in np.frombuffer(out[rows[k]], "<i4").tolist():
+                    ids.extend([x] if x >= 0 else self.fallback(chr(-2 - x)))
+                out[rows[k]] = np.array(ids, "<u4").tobytes()
         return out
 
     def segment(self, chunk: str, rate: float = 0.0, key: int = 0, skips: tuple[int, ...] = (), taken: list[int] | None = None) -> list[int]:
@@ -270,7 +309,7 @@ class _Trees:
 
     def learn(self, chunks: set[str]) -> None:
         """Roots of chunks that are not held yet, all at once."""
-        new = sorted(chunks)
+        new = list(chunks)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         found = self.pieces.segment_many(new, 0.0, np.zeros(len(new), np.uint64), taken)
         row = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in taken)])
@@ -312,29 +351,51 @@ class PieceCoder:
         return self.encode_many([text], [key])[0]
 
     def encode_many(self, batch: list[str], keys: list[int]) -> list[np.ndarray]:
-        chunks: list[str] = []
-        places: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        """Ids of each text. A chunk's key comes of the seed, its document and its place there."""
+        plain = [i for i, x in enumerate(batch) if x and SPACE not in x and "  " not in x and x[0] != " " and x[-1] != " "]
+        cut = pc.split_pattern(pa.array([batch[i] for i in plain], pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        chunks = [SPACE + x for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        code, ends = coded.indices.to_numpy(), cut.offsets.to_numpy()
+        plain_at = dict(zip(plain, zip(ends.tolist(), ends[1:].tolist())))
+        number = None
+        codes: list[np.ndarray] = []
+        starts: list[int] = []
         plans: list[list[tuple[int, int]]] = []
-        for text, key in zip(batch, keys):
+        at = 0
+        for i, (text, key) in enumerate(zip(batch, keys)):
+            parts = []
+            if i in plain_at:
+                a, b = plain_at[i]
+                parts.append(code[a:b])
+            elif text:
+                number = number if number is not None else {c: k for k, c in enumerate(chunks)}
+                for k, part in enumerate(text.split(SPACE)):
+                    own = self._chunks((" " + part if not k else part).replace(" ", SPACE))
+                    parts.append(np.array([number.setdefault(c, len(number)) for c in own], np.int64))
             plan = []
-            for k, part in enumerate(text.split(SPACE) if text else []):
-                own = self._chunks((" " + part if not k else part).replace(" ", SPACE))
-                start = np.uint64(((key & _M64) * 0x9E3779B97F4A7C15 + self.seed * 1_000_003 + k) & _M64)
-                places.append((mix(np.arange(len(own), dtype=np.uint64) + mix(np.array([start]))[0]) >> np.uint64(32)).astype(np.uint32))
-                plan.append((len(chunks), len(chunks) + len(own)))
-                chunks.extend(own)
+            for k, part in enumerate(parts):
+                starts.append(((key & _M64) * 0x9E3779B97F4A7C15 + self.seed * 1_000_003 + k) & _M64)
+                plan.append((at, at + len(part)))
+                at += len(part)
+            codes.extend(parts)
             plans.append(plan)
-        coded = self._coded(chunks, np.concatenate(places))
+        if number is not None:
+            chunks = list(number)
+        sizes = np.array([len(x) for x in codes], np.int64)
+        inside = np.arange(at) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own_keys = (mix(inside.astype(np.uint64) + np.repeat(mix(np.array(starts, np.uint64)), sizes)) >> np.uint64(32)).astype(np.uint32)
+        found = self._coded(chunks, np.concatenate([np.zeros(0, np.int64), *codes]), own_keys)
         mark = np.array(self.pieces.fallback(SPACE), "<u4").tobytes()
-        return [np.frombuffer(mark.join(b"".join(coded[a:b]) for a, b in plan), "<u4") for plan in plans]
+        return [np.frombuffer(mark.join(b"".join(found[a:b]) for a, b in plan), "<u4") for plan in plans]
 
-    def _coded(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
-        """Ids of every occurrence of a chunk, by its own key."""
+    def _coded(self, chunks: list[str], code: np.ndarray, keys: np.ndarray) -> list[bytes]:
+        """Ids of every occurrence, given by its chunk's number, by its own key."""
         trees = self.trees
         if len(trees.ids) > trees.LIMIT:
             trees.clear()
-        trees.learn({c for c in set(chunks).difference(trees.roots) if len(c) < 64})
-        node = np.fromiter(map(trees.roots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        trees.learn({c for c in chunks if c not in trees.roots and len(c) < 64})
+        node = np.fromiter(map(trees.roots.get, chunks, repeat(-1)), np.int64, len(chunks))[code]
         alone = [np.nonzero(node < 0)[0]]
         live = np.nonzero(node >= 0)[0] if self.rate else np.zeros(0, np.int64)
         limit = int(self.rate * 2**32)
@@ -359,7 +420,7 @@ class PieceCoder:
             node[live] = down
         out = [trees.ids[k] if k >= 0 else b"" for k in node.tolist()]
         rest = np.concatenate(alone)
-        found = self.pieces.segment_many([chunks[i] for i in rest.tolist()], self.rate, keys[rest].astype(np.uint64))
+        found = self.pieces.segment_many([chunks[i] for i in code[rest].tolist()], self.rate, keys[rest].astype(np.uint64))
         for i, ids in zip(rest.tolist(), found):
             out[i] = ids
         return out
@@ -372,8 +433,16 @@ class PieceCoder:
         return ([head] if head else []) + [SPACE + x for x in rest]
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.pieces.raw.__getitem__, np.asarray(ids).tolist()))
-        return raw.decode("utf-8", "surrogatepass")[1:]
+        return self.decode_many([np.asarray(ids, np.int64)])[0].decode("utf-8", "surrogatepass")
+
+    def decode_many(self, coded: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 bytes of each text: its pieces side by side, less the space put before the first."""
+        flat = np.concatenate([np.zeros(0, np.int64), *coded])
+        raw = self.pieces.raw_array.take(pa.array(flat))
+        data = raw.buffers()[2]
+        data = data.to_pybytes() if data is not None else b""
+        at = np.frombuffer(raw.buffers()[1], np.int64)[np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)].tolist()
+        return [data[a + 1 : b] for a, b in zip(at, at[1:])]
 
 
 _CODERS: dict[tuple, PieceCoder] = {}
@@ -398,7 +467,7 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 4, id_col
             keys = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             whole = texts(batch, text_col)
             found = c.encode_many(whole, [int(k or 0) for k in keys])
-            same = [c.decode(ids) == text for ids, text in zip(found, whole)]
+            same = [back == text.encode() for back, text in zip(c.decode_many(found), whole)]
             n = np.array([len(x) for x in found], np.int64)
             flat = np.concatenate(found).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))

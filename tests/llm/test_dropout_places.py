@@ -26,7 +26,7 @@ def test_a_word_is_split_at_the_rate_in_many_ways():
 def test_places_in_one_document_differ():
     coder = pd_.PieceCoder(MODEL, 0.1)
     chunks = [pd_.SPACE + "considerations"] * 5_000
-    assert len(set(coder._coded(chunks, pd_.mix(np.arange(5_000, dtype=np.uint64)).astype(np.uint32)))) > 10
+    assert len(set(coder._coded(chunks[:1], np.zeros(5_000, np.int64), pd_.mix(np.arange(5_000, dtype=np.uint64)).astype(np.uint32)))) > 10
 
 
 def test_tree_and_agenda_agree():
@@ -36,5 +36,5 @@ def test_tree_and_agenda_agree():
         chunks = words * 400
         keys = pd_.mix(np.arange(len(chunks), dtype=np.uint64)).astype(np.uint32)
         for _ in range(2):
-            for c, k, got in zip(chunks, keys.tolist(), coder._coded(chunks, keys)):
+            for c, k, got in zip(chunks, keys.tolist(), coder._coded(words, np.tile(np.arange(len(words)), 400), keys)):
                 assert np.frombuffer(got, "<u4").tolist() == coder.pieces.segment(c, rate, k)
