@@ -25,9 +25,15 @@ def file_line(name: Column, content_sha: Column) -> Column:
 
 def fold(lines: Column, distinct: bool = True) -> Column:
     """Aggregate: the group's lines, sorted by bytes and joined by newlines, as a short digest. A group of no lines has
-    none: null, which no comparison takes for equal."""
+    none, nor has one with a line that is null (something that could not be read): null, which no comparison takes for
+    equal."""
     gathered = F.array_sort(F.collect_set(lines) if distinct else F.collect_list(lines))
-    return F.when(F.size(gathered) > 0, short(F.array_join(gathered, NEWLINE)))
+    return F.when((F.size(gathered) > 0) & whole(lines), short(F.array_join(gathered, NEWLINE)))
+
+
+def whole(lines: Column) -> Column:
+    """Aggregate: no line of the group is null."""
+    return F.count(F.lit(1)) == F.count(lines)
 
 
 def base64url(x: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digest import file_line, fold, framed, short
+from ..functions import paths
+from ..functions.digest import file_line, fold, framed, short, whole
 
 FILE_KINDS = ["go_files", "cgo_files", "c_files", "s_files", "syso_files", "embed_files", "other_files"]
 
@@ -16,8 +17,9 @@ def source_files() -> Column:
 
 
 def pinned(module_cache: Column) -> Column:
-    """A module that is not the main one, under the cache: its version stands for its content."""
-    inside = F.startswith(F.coalesce("replace_dir", "module.dir", F.lit("")), F.concat(module_cache, F.lit("/")))
+    """A package in the cache's folder, of a module that is not the main one: its version stands for its content."""
+    own = paths.clean(F.coalesce("dir", F.lit("")))
+    inside = (own == module_cache) | F.startswith(own, F.concat(module_cache, F.lit("/")))
     return F.col("module").isNotNull() & ~F.coalesce("module.main", F.lit(False)) & inside
 
 
@@ -25,7 +27,9 @@ def classes(packages: DataFrame, module_cache: str) -> DataFrame:
     """The graph's nodes: import path, class (standard, pinned, mutable_local), pin, once each."""
     pin = pinned(F.lit(module_cache))
     kind = F.when(F.coalesce("standard", F.lit(False)) | F.col("module").isNull(), "standard").when(pin, "pinned").otherwise("mutable_local")
-    version = F.regexp_replace(F.coalesce("replace_dir", "module.dir"), f"^{module_cache}/", "")
+    place = paths.clean(F.coalesce("replace_dir", "module.dir"))
+    inside = F.startswith(place, F.lit(f"{module_cache}/"))
+    version = F.when(inside, F.substring(place, F.lit(len(module_cache) + 2), F.length(place))).otherwise(place)
     rows = packages.withColumn("class", kind).withColumn("pin", F.when(kind == "pinned", version))
     return rows.select("generation", "import_path", "pkg_path", "dir", "for_test", "class", "pin").dropDuplicates(["generation", "import_path"])
 
@@ -41,24 +45,28 @@ def own_variant(root: Column, root_dir: Column) -> Column:
 
 
 def file_sets(package_files: DataFrame) -> DataFrame:
-    """dir, digest of all its named files: one hash a file, folded in order of their lines."""
-    line = file_line(F.col("file"), F.sha2("content", 256))
-    return package_files.groupBy("generation", "dir").agg(F.concat_ws("", F.array_sort(F.collect_set(line))).alias("text")).select("generation", "dir", short(F.col("text")).alias("files_hash"))
+    """dir, digest of all its named files: one hash a file, folded in order of their names. Null where one of them could not
+    be read (null content)."""
+    line = F.struct(F.col("file").alias("f"), file_line(F.col("file"), F.sha2("content", 256)).alias("l"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(line["l"].isNotNull(), line))), lambda x: x["l"]), "")
+    return package_files.groupBy("generation", "dir").agg(F.when(whole(line["l"]), short(lines)).alias("files_hash"))
 
 
 def contributions(nodes: DataFrame, hashes: DataFrame) -> DataFrame:
-    """import_path -> contribution of what counts: cache:module@version of pinned ones, src:path=hash of local ones."""
-    rows = nodes.filter((F.col("class") != "standard") & ~test_main()).join(hashes, ["generation", "dir"], "left")
+    """import_path, counts, contribution: cache:module@version of pinned ones, src:path=hash of local ones. Standard packages
+    and generated test mains do not count; one that counts and whose content is not known has a null contribution."""
+    rows = nodes.join(hashes, ["generation", "dir"], "left").withColumn("counts", (F.col("class") != "standard") & ~test_main())
     text = F.when(F.col("class") == "pinned", F.concat(F.lit("cache:"), "pin")).otherwise(F.concat(F.lit("src:"), "import_path", F.lit("="), "files_hash"))
-    return rows.select("generation", "import_path", text.alias("contribution"))
+    return rows.select("generation", "import_path", "counts", F.when(F.col("counts"), text).alias("contribution"))
 
 
 def maximal(deps: DataFrame, contribs: DataFrame) -> DataFrame:
-    """deps (generation, root, import_path: all that root reaches) -> root, hash. A root with a dependency whose content is
-    not known has no hash, and so is never valid."""
-    rows = deps.join(contribs, ["generation", "import_path"])
-    known = F.bool_and(F.col("contribution").isNotNull())
-    return rows.groupBy("generation", "root").agg(F.when(known, fold(F.col("contribution"))).alias("hash"))
+    """deps (generation, root, import_path: all that root reaches) -> root, hash. A root with a dependency that no listing
+    knows, or whose content is not known, has no hash, and so is never valid."""
+    rows = deps.join(contribs, ["generation", "import_path"], "left")
+    known = F.bool_and(F.coalesce(~F.col("counts") | F.col("contribution").isNotNull(), F.lit(False)))
+    gathered = F.array_sort(F.collect_set("contribution"))
+    return rows.groupBy("generation", "root").agg(F.when(known & (F.size(gathered) > 0), short(F.array_join(gathered, "\n"))).alias("hash"))
 
 
 def compartment(variant_files: DataFrame, base_files: DataFrame) -> DataFrame:

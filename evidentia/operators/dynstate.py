@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.digest import fold
+from ..functions.digest import short
 from .fixpoint import components, fallen, init_only, init_reach, least_proof, reach
 
 #: Culprits by class, the gravest first.
@@ -135,15 +135,21 @@ def acceptance(packages: DataFrame, imports: DataFrame, keys: DataFrame) -> Data
     return cone.join(keys.select(F.col("pkg").alias("node"), "key"), "node").groupBy("root").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
+def quoted(x: Column) -> Column:
+    """A string in double quotes, quotes and backslashes escaped; pins are printable."""
+    return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
 def buckets(nodes: DataFrame, imports: DataFrame) -> DataFrame:
-    """(import_path, bucket) of pinned packages whose whole cone is pinned: the pin and a digest of the cone's pins. A cone
-    with a local package has no key: its content may change under one."""
+    """(pin, bucket) of pinned modules: the pin and a digest of all pins that its packages reach. A module any package of
+    which reaches a local one has no key: part of what it is made of may change under one."""
     edges = imports.select(F.col("import_path").alias("src"), F.col("imported").alias("dst"))
-    roots = nodes.filter("class = 'pinned'").select(F.col("import_path").alias("root"), F.col("pin").alias("root_pin"))
-    cone = reach(edges, roots.select("root", F.col("root").alias("node")), ["root"])
-    known = cone.join(nodes.select(F.col("import_path").alias("node"), "class", "pin"), "node")
-    rows = known.groupBy("root").agg(F.bool_or(F.col("class") == "mutable_local").alias("local"), fold(F.col("pin")).alias("cone"))
-    return rows.filter(~F.col("local")).join(roots, "root").select(F.col("root").alias("import_path"), F.concat("root_pin", F.lit("|"), F.substring("cone", 1, 16)).alias("bucket"))
+    pins = nodes.filter("class = 'pinned'").select("pin", F.col("import_path").alias("node"))
+    cone = reach(edges, pins, ["pin"])
+    known = cone.join(nodes.select(F.col("import_path").alias("node"), "class", F.col("pin").alias("there")), "node")
+    rows = known.groupBy("pin").agg(F.bool_or(F.col("class") == "mutable_local").alias("local"), F.array_sort(F.collect_set("there")).alias("cone"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("cone", quoted), " "), F.lit("]"))
+    return rows.filter(~F.col("local")).select("pin", F.concat("pin", F.lit("|"), F.substring(short(text), 1, 16)).alias("bucket"))
 
 
 def covered_by_all(directives: DataFrame, declares: DataFrame) -> DataFrame:

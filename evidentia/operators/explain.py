@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import pin
+
 BOUND = 24
 
 
 def bounded(links: DataFrame, bound: int = BOUND) -> DataFrame:
-    """links (culprit, seq, protect, ...): the first ones, or all but one and the protected link; with how many are left out."""
+    """links (culprit, seq, protect, ...) -> at most `bound` of each culprit, and how many are left out: all, or the first
+    bound - 1 and one more, the protected link if that comes later (the last of several), else the last of all."""
     whole = W.partitionBy("culprit")
     nth = F.row_number().over(whole.orderBy("seq"))
     rows = links.withColumns({"nth": nth, "total": F.count("*").over(whole)})
-    late = F.max(F.when(F.col("protect") & (F.col("nth") > bound), F.col("nth"))).over(whole)
-    rows = rows.withColumn("late", late)
-    keep = F.when(F.col("late").isNull(), F.col("nth") <= bound).otherwise((F.col("nth") <= bound - 1) | (F.col("nth") == F.col("late")))
+    late = F.max(F.when(F.col("protect") & (F.col("nth") >= bound), F.col("nth"))).over(whole)
+    rows = rows.withColumn("late", F.coalesce(late, "total"))
+    keep = (F.col("total") <= bound) | (F.col("nth") <= bound - 1) | (F.col("nth") == F.col("late"))
     return rows.filter(keep).withColumn("omitted", F.greatest(F.lit(0), F.col("total") - bound)).drop("nth", "total", "late")
 
 
@@ -28,15 +29,10 @@ def chains(culprits: DataFrame, mark_sites: DataFrame, imports: DataFrame | None
     return rows.withColumns({"seq": F.row_number().over(W.partitionBy("culprit").orderBy("pos", "clause")), "protect": F.col("clause") == "origin"})
 
 
-def trail(edges: DataFrame, start: str, local: set[str], limit: int = 10_000) -> list[str]:
-    """Depth-first along unresolved edges (own, dep) to the first local refusal. The subgraph of one culprit, gathered only
-    when it is asked for, and refused beyond the limit."""
-    rows = edges.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many edges for one explanation")
-    after = defaultdict(list)
-    for r in sorted(rows):
-        after[r.own].append(r.dep)
+def trail(edges: DataFrame, start: str, local: set[str]) -> list[str]:
+    """Along unresolved edges (own, dep) from start to a local refusal, depth-first, least names first. Edges stay a table:
+    one node's edges are asked for at a time, so the driver holds the walk and never the graph."""
+    known = pin(edges.select("own", "dep").distinct(), "trail")
     stack, seen = [(start, [start])], set()
     while stack:
         node, path = stack.pop()
@@ -44,14 +40,15 @@ def trail(edges: DataFrame, start: str, local: set[str], limit: int = 10_000) ->
             return path
         if node not in seen:
             seen.add(node)
-            stack.extend((d, [*path, d]) for d in reversed(after[node]))
+            next_ = [r.dep for r in known.filter(F.col("own") == node).select("dep").orderBy(F.desc("dep")).collect()]
+            stack.extend((d, [*path, d]) for d in next_ if d not in seen)
     return []
 
 
 def param_display(key: Column) -> Column:
-    """path, function and index, NUL-separated, as path.function#index."""
-    parts = F.split(key, "\0")
-    return F.when(F.size(parts) == 3, F.concat(parts[0], F.lit("."), parts[1], F.lit("#"), parts[2])).otherwise(key)
+    """path, function and index, NUL-separated, as `path.function parameter index`; other keys with dots for NULs."""
+    parts = F.split(key, "\0", 3)
+    return F.when(F.size(parts) == 3, F.concat(parts[0], F.lit("."), parts[1], F.lit(" parameter "), parts[2])).otherwise(F.replace(key, F.lit("\0"), F.lit(".")))
 
 
 def describe_observability(observable: Column, reason: Column) -> Column:

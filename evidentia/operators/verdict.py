@@ -12,7 +12,8 @@ from .guards import first_mismatch, valid_kind
 STRATEGY = "dynamic-state/1"
 PROOF_STRATEGY = "observation/1"
 SHARED_STATE = "shared dynamic state"
-PURITY = ("caller", "directive", "caller+directive")
+#: Who a purity is attributed to. A proof is bound to the first.
+PURITY = ("caller assertion", "source directive", "caller assertion and source directive")
 
 
 def _text(x: Column) -> Column:
@@ -66,16 +67,19 @@ def after_guards(external: Column, pure: Column, manifest: Column, rt_unverifiab
     )
 
 
-def proof_evidence(strategy: Column, package: Column, symbol: Column, observable: Column, reason: Column) -> Column:
-    return short(framed(strategy, package, symbol, observable.cast("string"), reason))
+def proof_evidence(closure: Column, assertion: Column, strategy: Column, package: Column, symbol: Column, observable: Column, reason: Column) -> Column:
+    """Binds a proof to the closure and the assertion that it was made under. The flag stands between the frames, bare."""
+    return short(F.concat(framed(closure, assertion, strategy, package, symbol), observable.cast("string"), framed(reason)))
 
 
-def compatible_proof(proof: Column, subject: Column) -> Column:
-    """A proof of this subject, by this strategy, observable exactly if it names no reason, with its own digest."""
+def compatible_proof(proof: Column, assertion: Column, subject: Column, closure: Column) -> Column:
+    """A proof of this subject under this closure, on a caller's assertion, by this strategy, observable exactly if it names
+    no reason, with its own digest. A proof of another closure proves nothing of this one."""
+    held = (assertion == PURITY[0]) & (_text(closure) != "")
     same = (proof["strategy"] == PROOF_STRATEGY) & (proof["subject"]["package"] == subject["package"]) & (proof["subject"]["symbol"] == subject["symbol"])
     told = (_text(proof["reason"]) == "") == proof["observable"]
-    sealed = proof["evidence"] == proof_evidence(proof["strategy"], subject["package"], subject["symbol"], proof["observable"], _text(proof["reason"]))
-    return F.coalesce(same & told & sealed, F.lit(False))
+    sealed = proof["evidence"] == proof_evidence(closure, assertion, proof["strategy"], subject["package"], subject["symbol"], proof["observable"], _text(proof["reason"]))
+    return F.coalesce(held & same & told & sealed, F.lit(False))
 
 
 def pure_applies(recorded: Column, current: Column) -> Column:
@@ -111,7 +115,8 @@ def check(recordings: DataFrame, current: DataFrame, runtime: DataFrame, observe
     rows = rows.withColumn("early", evidence(F.col("maximal_closure"), F.col("c_hash"), F.col("test_variant_closure"), F.col("c_test_variants"), F.col("dynamic_state_strategy")))
     states = runtime.select(F.col("manifest").alias("m"), F.col("ok").alias("rt_ok"), F.col("digest").alias("rt_digest"), F.col("unverifiable").alias("rt_unverifiable"), F.col("reason").alias("rt_reason"))
     rows = rows.join(states, F.col("early").isNull() & (F.nullif("runtime_inputs", F.lit("")) == F.col("m")), "left")
-    seen = compatible_proof(F.col("proof"), F.col("subject")) & F.coalesce(F.col("proof.observable"), F.lit(False)) if observed else F.lit(False)
+    # bound to what is there now: evidence has made sure that the recorded closure is the same
+    seen = compatible_proof(F.col("proof"), F.col("observation_assertion"), F.col("subject"), F.col("c_hash")) & F.coalesce(F.col("proof.observable"), F.lit(False)) if observed else F.lit(False)
     late = F.coalesce(
         known_guards(F.col("runtime_inputs"), F.col("runtime_digest"), F.col("rt_ok"), F.col("rt_digest"), F.col("guards"), F.col("c_guards"), F.col("result_kind")),
         after_guards(F.col("c_external"), pure_applies(F.col("purity_assertion"), F.col("c_purity")), F.col("runtime_inputs"), F.col("rt_unverifiable"), F.col("rt_reason"), F.col("c_unverifiable"), F.col("c_reason"), seen),
@@ -138,4 +143,4 @@ def first_three(values: DataFrame, key: str, value: str) -> DataFrame:
     ranked = values.select(key, value).distinct().withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(value)))
     sizes = ranked.groupBy(key).agg(F.max("n").alias("size"), F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.col(value)))).alias("first"))
     text = F.array_join("first", ", ")
-    return sizes.select(key, F.when(F.col("size") > 3, F.concat(text, F.lit(" and "), (F.col("size") - 3).cast("string"), F.lit(" more"))).otherwise(text).alias("summary"))
+    return sizes.select(key, F.when(F.col("size") > 3, F.concat(text, F.lit(", and "), (F.col("size") - 3).cast("string"), F.lit(" more"))).otherwise(text).alias("summary"))

@@ -124,11 +124,11 @@ def verdict_ladder(spark, d):
     return rows.select("o_custkey", "v.status", "v.reason")
 
 
-@query("""SELECT l_orderkey * 10 + l_linenumber AS id, left(sha256('13:observation/11:p' || octet_length(encode(l_returnflag))::VARCHAR || ':' || l_returnflag || CASE WHEN l_linenumber = 1 THEN '4:true' ELSE '5:false' END || CASE WHEN l_linenumber = 1 THEN '0:' ELSE '1:r' END), 32) AS evidence,
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, left(sha256(octet_length(encode(l_linestatus))::VARCHAR || ':' || l_linestatus || '16:caller assertion' || '13:observation/1' || '1:p' || octet_length(encode(l_returnflag))::VARCHAR || ':' || l_returnflag || CASE WHEN l_linenumber = 1 THEN 'true' ELSE 'false' END || CASE WHEN l_linenumber = 1 THEN '0:' ELSE '1:r' END), 32) AS evidence,
   l_linenumber = 1 OR l_linestatus = 'O' AS told FROM lineitem""")
 def proof_evidence(spark, d):
     ok = F.col("l_linenumber") == 1
-    e = verdict.proof_evidence(F.lit(verdict.PROOF_STRATEGY), F.lit("p"), F.col("l_returnflag"), ok, F.when(ok, "").otherwise("r"))
+    e = verdict.proof_evidence(F.col("l_linestatus"), F.lit(verdict.PURITY[0]), F.lit(verdict.PROOF_STRATEGY), F.lit("p"), F.col("l_returnflag"), ok, F.when(ok, "").otherwise("r"))
     return t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), e.alias("evidence"), (ok | (F.col("l_linestatus") == "O")).alias("told"))
 
 
@@ -393,19 +393,21 @@ def init_only_forall(spark, d):
     return fixpoint.init_only(refs)
 
 
-@query("""WITH p AS (SELECT DISTINCT n_regionkey AS root, 'm' || s_nationkey || '@v' || (s_nationkey % 4) AS pin, s_nationkey % 11 = 3 AS local FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT 'r' || root AS import_path, 'region@v1|' || left(sha256(string_agg(pin, chr(10) ORDER BY pin)), 16) AS bucket FROM (SELECT root, pin, local FROM p UNION SELECT DISTINCT root, 'region@v1', false FROM p)
-GROUP BY root HAVING NOT bool_or(local)""")
+@query("""WITH p AS (SELECT DISTINCT n_regionkey AS root, 'm' || s_nationkey || '@v' || (s_nationkey % 4) AS pin, s_nationkey % 11 = 3 AS local FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT 'region' || root % 3 || '@v1' AS pin, pin AS there, local FROM p UNION SELECT DISTINCT 'region' || root % 3 || '@v1', 'region' || root % 3 || '@v1', false FROM p)
+SELECT pin, pin || '|' || left(sha256('[' || string_agg(DISTINCT '"' || there || '"', ' ' ORDER BY '"' || there || '"') || ']'), 16) AS bucket FROM m GROUP BY pin HAVING NOT bool_or(local)""")
 def cone_digest(spark, d):
-    """Regions as pinned roots over the nations with suppliers; a cone with a local nation has no key."""
+    """Regions as packages of three pinned modules over the nations with suppliers; a module with a local nation in the cone
+    of any of its packages has no key."""
     pairs = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", "s_nationkey").distinct()
     root, leaf = F.concat(F.lit("r"), text("n_regionkey")), F.concat(F.lit("n"), text("s_nationkey"))
     imports = pairs.select(root.alias("import_path"), leaf.alias("imported"))
     local = F.col("s_nationkey") % 11 == 3
     pin = F.concat(F.lit("m"), text("s_nationkey"), F.lit("@v"), (F.col("s_nationkey") % 4).cast("string"))
+    module = F.concat(F.lit("region"), (F.col("n_regionkey") % 3).cast("string"), F.lit("@v1"))
     nodes = pairs.select(leaf.alias("import_path"), F.when(local, "mutable_local").otherwise("pinned").alias("class"), pin.alias("pin")).distinct()
-    nodes = nodes.unionByName(pairs.select(root.alias("import_path"), F.lit("pinned").alias("class"), F.lit("region@v1").alias("pin")).distinct())
-    return dynstate.buckets(nodes, imports).filter(F.startswith("import_path", F.lit("r")))
+    nodes = nodes.unionByName(pairs.select(root.alias("import_path"), F.lit("pinned").alias("class"), module.alias("pin")).distinct())
+    return dynstate.buckets(nodes, imports).filter(F.startswith("pin", F.lit("region")))
 
 
 @query("""SELECT c_custkey AS package, coalesce(bool_and(o_orderkey % 6 <> 0), true) AS complete FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
@@ -433,15 +435,15 @@ def culprit_rank(spark, d):
 
 
 @query("""WITH r AS (SELECT DISTINCT source, lang || '-' || (doc_id % 9) AS v FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v) AS n, count(*) OVER (PARTITION BY source) AS size FROM r)
-SELECT source, string_agg(v, ', ' ORDER BY v) FILTER (n <= 3) || CASE WHEN max(size) > 3 THEN ' and ' || (max(size) - 3) || ' more' ELSE '' END AS summary FROM n GROUP BY source""")
+SELECT source, string_agg(v, ', ' ORDER BY v) FILTER (n <= 3) || CASE WHEN max(size) > 3 THEN ', and ' || (max(size) - 3) || ' more' ELSE '' END AS summary FROM n GROUP BY source""")
 def first_three_more(spark, d):
     rows = t(spark, d, "documents").select("source", F.concat("lang", F.lit("-"), (F.col("doc_id") % 9).cast("string")).alias("v"))
     return verdict.first_three(rows, "source", "v")
 
 
 @query("""WITH l AS (SELECT conv_id AS culprit, turn AS seq, turn % 13 = 12 AS p FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY culprit ORDER BY seq) AS nth, count(*) OVER (PARTITION BY culprit) AS total FROM l),
-m AS (SELECT *, max(CASE WHEN p AND nth > 5 THEN nth END) OVER (PARTITION BY culprit) AS late FROM n)
-SELECT culprit, seq, greatest(0, total - 5) AS omitted FROM m WHERE CASE WHEN late IS NULL THEN nth <= 5 ELSE nth <= 4 OR nth = late END""")
+m AS (SELECT *, coalesce(max(CASE WHEN p AND nth >= 5 THEN nth END) OVER (PARTITION BY culprit), total) AS late FROM n)
+SELECT culprit, seq, greatest(0, total - 5) AS omitted FROM m WHERE total <= 5 OR nth <= 4 OR nth = late""")
 def bounded_chain(spark, d):
     links = t(spark, d, "conversations").select(F.col("conv_id").alias("culprit"), F.col("turn").alias("seq"), (F.col("turn") % 13 == 12).alias("protect"))
     return explain.bounded(links, 5).select("culprit", "seq", "omitted")

@@ -46,6 +46,28 @@ def test_closures(spark):
     assert one["a"] != two["a"] and one["b"] == two["b"] and all(one.values())
     unread = closure.contributions(nodes, closure.file_sets(spark.createDataFrame([], schema("package_files"))))
     assert {r.root: r.hash for r in closure.maximal(deps, unread).collect()}["a"] is None
+    # a file that can't be read takes its folder's digest with it, a dependency that no listing knows its root's
+    some = spark.createDataFrame([("g", "/src/a", "a.go", "go", b"1"), ("g", "/src/a", "b.go", "go", None)], schema("package_files"))
+    assert [r.files_hash for r in closure.file_sets(some).collect()] == [None]
+    lost = deps.unionByName(spark.createDataFrame([("g", "b", "nowhere")], deps.schema))
+    after = {r.root: r.hash for r in closure.maximal(lost, closure.contributions(nodes, files(b"1"))).collect()}
+    assert after["a"] == one["a"] and after["b"] is None
+
+
+def test_pinned_is_by_the_packages_folder(spark):
+    rows = [package("d/x", module=DEP, dir="/c+ache/d@v1/x"), package("e/x", module=DEP, dir="/elsewhere/x")]
+    found = {r.import_path: r["class"] for r in closure.classes(spark.createDataFrame(rows, schema("packages")), "/c+ache").collect()}
+    assert found == {"d/x": "pinned", "e/x": "mutable_local"}
+
+
+def test_file_sets_are_the_documented_digest(spark):
+    import hashlib
+
+    files_ = {"b.go": b"2", "a.go": b"1"}
+    rows = [("g", "/src/a", k, "go", v) for k, v in files_.items()]
+    frame = b"".join(k.encode() + b"\0" + hashlib.sha256(files_[k]).hexdigest().encode() + b"\n" for k in sorted(files_))
+    got = closure.file_sets(spark.createDataFrame(rows, schema("package_files"))).first().files_hash
+    assert got == hashlib.sha256(frame).hexdigest()[:32]
 
 
 def test_compartments_hold_what_only_tests_have(spark):
@@ -143,6 +165,22 @@ def test_bounded_chains_keep_the_protected_link(spark):
     assert [r.omitted for r in got if r.culprit == "d"] == [0]
 
 
+def test_bounded_chains_keep_the_last_link_where_none_is_protected_late(spark):
+    links = spark.createDataFrame([("c", i, i == 4) for i in range(30)] + [("d", i, i == 23) for i in range(30)], "culprit string, seq int, protect boolean")
+    got = explain.bounded(links).collect()
+    assert sorted(r.seq for r in got if r.culprit == "c") == [*range(23), 29] and {r.omitted for r in got} == {6}
+    assert sorted(r.seq for r in got if r.culprit == "d") == [*range(24)]
+
+
+def test_parameters_and_movers_as_text(spark):
+    df = spark.createDataFrame([("p\0f\x002",), ("p\0f",)], "k string").coalesce(1)
+    assert [r.x for r in df.select(explain.param_display(F.col("k")).alias("x")).collect()] == ["p.f parameter 2", "p.f"]
+    from evidentia.operators import verdict
+
+    many = spark.createDataFrame([("a", x) for x in "vwxyz"] + [("b", x) for x in "xyz"], "k string, v string")
+    assert {r.k: r.summary for r in verdict.first_three(many, "k", "v").collect()} == {"a": "v, w, x, and 2 more", "b": "x, y, z"}
+
+
 def test_trail(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "x")], "own string, dep string")
     assert explain.trail(edges, "a", {"x"}) == ["a", "c", "x"] and explain.trail(edges, "a", {"z"}) == []

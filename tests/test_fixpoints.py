@@ -112,10 +112,15 @@ def test_rounds_are_bounded(spark):
 
 
 def test_buckets_need_pinned_cones(spark):
-    nodes_ = spark.createDataFrame([("a", "pinned", "m@1"), ("b", "pinned", "n@1"), ("c", "mutable_local", None), ("d", "pinned", "o@1")], "import_path string, class string, pin string")
-    imports = spark.createDataFrame([("a", "b"), ("d", "c")], "import_path string, imported string")
-    found = {r.import_path: r.bucket for r in dynstate.buckets(nodes_, imports).collect()}
-    assert set(found) == {"a", "b"} and found["a"].startswith("m@1|") and len(found["a"]) == len("m@1|") + 16
+    import hashlib
+
+    rows = [("a", "pinned", "m@1"), ("b", "pinned", "n@1"), ("c", "mutable_local", None), ("d", "pinned", "o@1"), ("e", "pinned", "o@1")]
+    nodes_ = spark.createDataFrame(rows, "import_path string, class string, pin string")
+    imports = spark.createDataFrame([("a", "b"), ("d", "c"), ("e", "b")], "import_path string, imported string")
+    found = {r.pin: r.bucket for r in dynstate.buckets(nodes_, imports).collect()}
+    # e alone would have a key, but its module's other package reaches local code
+    signature = lambda *pins: hashlib.sha256(f"[{' '.join(chr(34) + p + chr(34) for p in pins)}]".encode()).hexdigest()[:16]
+    assert found == {"m@1": f"m@1|{signature('m@1', 'n@1')}", "n@1": f"n@1|{signature('n@1')}"}
 
 
 def test_populations(spark):

@@ -51,4 +51,4 @@ def test_transactions(spark):
     assert {(r.subject.symbol, r.verdict.status) for r in verdicts.collect()} == {("A", "valid"), ("B", "stale")} and errors.count() == 0
     assert phases == ["observe", "observe", "runtime", "runtime"]
     facts = spark.createDataFrame([("p", "A", "pure", False, ""), ("p", "B", "pure", False, ""), ("p", "C", "", True, ""), ("p", "A2", None, False, "")], "package string, symbol string, directive string, external boolean, ambiguous string")
-    assert {r.symbol: r.purity for r in engine.purity(facts).collect()} == {"A": "caller+directive", "B": "directive", "C": "", "A2": ""}
+    assert {r.symbol: r.purity for r in engine.purity(facts).collect()} == {"A": "caller assertion and source directive", "B": "source directive", "C": "", "A2": ""}

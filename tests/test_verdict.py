@@ -73,13 +73,13 @@ def test_a_code_result_with_machine_guards_is_an_error(spark):
 
 
 def test_purity_needs_both_attributions(spark):
-    df = spark.createDataFrame([("caller", "directive"), ("caller", ""), (None, "caller"), ("other", "caller")], "r string, c string")
+    df = spark.createDataFrame([("caller assertion", "source directive"), ("caller assertion", ""), (None, "caller assertion"), ("other", "caller assertion")], "r string, c string")
     assert [r.x for r in df.coalesce(1).select(verdict.pure_applies(F.col("r"), F.col("c")).alias("x")).collect()] == [True, False, False, False]
 
 
 def test_proofs_are_sealed(spark):
     frame = lambda *p: "".join(f"{len(x)}:{x}" for x in p)
-    seal = lambda ok, why: hashlib.sha256(frame(verdict.PROOF_STRATEGY, "p", "S", ok, why).encode()).hexdigest()[:32]
+    seal = lambda ok, why: hashlib.sha256((frame("C", "caller assertion", verdict.PROOF_STRATEGY, "p", "S") + ok + frame(why)).encode()).hexdigest()[:32]
     proof = "struct<strategy:string,subject:struct<package:string,symbol:string>,observable:boolean,reason:string,evidence:string>"
     me = ("p", "S")
     rows = [
@@ -92,7 +92,11 @@ def test_proofs_are_sealed(spark):
         (None, me, False),
     ]
     df = spark.createDataFrame([(p, s) for p, s, _ in rows], f"proof {proof}, subject struct<package:string,symbol:string>").coalesce(1)
-    assert [r.x for r in df.select(verdict.compatible_proof(F.col("proof"), F.col("subject")).alias("x")).collect()] == [x for *_, x in rows]
+    assert [r.x for r in df.select(verdict.compatible_proof(F.col("proof"), F.lit("caller assertion"), F.col("subject"), F.lit("C")).alias("x")).collect()] == [x for *_, x in rows]
+    # a proof made under another closure or another assertion proves nothing
+    for assertion, closure in (("caller assertion", "D"), ("source directive", "C"), ("", "C"), (None, "C"), ("caller assertion", ""), ("caller assertion", None)):
+        x = verdict.compatible_proof(F.col("proof"), F.lit(assertion).cast("string"), F.col("subject"), F.lit(closure).cast("string")).alias("x")
+        assert not any(r.x for r in df.select(x).collect())
 
 
 @pytest.mark.parametrize(("flags", "expected"), [((True, "a", "d", True, "b"), "external directive"), ((False, "a", "d", True, "b"), "a"), ((False, "", "d", True, "b"), "d"), ((False, "", "", True, "b"), "open subject world"), ((False, "", "", False, "b"), "b")])
