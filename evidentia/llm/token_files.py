@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, table, texts
+from .common import materialise, new_path, slices, table, texts
 
 # Fixed values of the Simple-8b layout: ids per word and bits per id of each selector (0: escape, 15: a run of zeros).
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 120], dtype=np.int64)
@@ -49,66 +49,51 @@ _PACKING = [15, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block offsets, words and escapes of the ids (uint64). All blocks advance together, one word each a step."""
+    """Block offsets, words and escapes of the ids (uint64). The selector that a word would have is found for every place at
+    once; then all blocks go from word to word together."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     big = ids >= np.uint64(1 << 60)
-    escapes = ids[big]
-    index = np.cumsum(big) - 1
     # a float holds the exponent of an id below 2**53 exactly; larger ones get the 60-bit selector anyway
     width = np.frexp(np.minimum(ids, np.uint64(1 << 52)).astype(np.float64))[1].astype(np.int8)
     width[ids >= np.uint64(1 << 52)] = 60
     width[big] = 99
-    starts = np.arange(0, n, BLOCK, dtype=np.int64)
-    stops = np.minimum(starts + BLOCK, n)
-    fits: dict[int, np.ndarray] = {}
     where = np.arange(n, dtype=np.int32)
-    for s in _PACKING:
-        if COUNTS[s] > 1:
-            too_wide = width > BITS[s]
-            # a selector that would hardly ever be filled is not tried: any choice that fits decodes to the same ids
-            if (1 - too_wide.mean()) ** int(COUNTS[s]) > 1e-3:
-                bad = np.where(too_wide, where, np.int32(n))
-                fits[s] = np.minimum.accumulate(bad[::-1])[::-1]
-    cursor, live = starts.copy(), np.arange(len(starts))
-    made: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(live):
-        at, stop = cursor[live], stops[live]
-        choice = np.where(width[at] > 60, 0, 14)
-        open_ = choice == 14
-        for s in _PACKING:
-            if s in fits:
-                ok = open_ & (fits[s][at] >= np.minimum(at + COUNTS[s], stop))
-                choice[ok] = s
-                open_ &= ~ok
-        word = choice.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(choice):
-            rows = np.nonzero(choice == s)[0]
-            if s == 0:
-                word[rows] |= index[at[rows]].astype(np.uint64)
-            elif BITS[s]:
-                acc = np.zeros(len(rows), np.uint64)
-                here, end = at[rows], stop[rows]
-                for k in range(int(COUNTS[s])):
-                    inside = here + k < end
-                    if not inside.any():
-                        break
-                    value = ids[np.minimum(here + k, n - 1)]
-                    acc |= np.where(inside, value, np.uint64(0)) << np.uint64(k * int(BITS[s]))
-                word[rows] |= acc
-        made.append((live, word))
-        cursor[live] = np.minimum(at + COUNTS[choice], stop)
-        live = live[cursor[live] < stop]
-    per_block = np.zeros(len(starts), np.int64)
-    for rows, _ in made:
-        per_block[rows] += 1
-    offsets = np.cumsum(per_block) - per_block
-    words = np.empty(int(per_block.sum()), np.uint64)
-    for k, (rows, word) in enumerate(made):
-        words[offsets[rows] + k] = word
-    return offsets.astype(np.uint32), words, escapes
+    stop = np.minimum((where // BLOCK + 1) * BLOCK, n).astype(np.int32)
+    choice = np.full(n, 14, np.int8)
+    narrow = np.cumsum(np.bincount(width, minlength=100)) / n  # share of ids of so many bits at most
+    for s in _PACKING[::-1]:
+        # a selector that would hardly ever be filled is not tried: any choice that fits decodes to the same ids
+        if COUNTS[s] > 1 and narrow[BITS[s]] ** int(COUNTS[s]) > 1e-3:
+            full = np.minimum(where + np.int32(COUNTS[s]), stop)
+            if narrow[BITS[s]] < 1:
+                next_bad = np.minimum.accumulate(np.where(width > BITS[s], where, np.int32(n))[::-1])[::-1]
+                choice[next_bad >= full] = s
+            else:
+                choice[:] = s
+    choice[big] = 0
+    after = np.minimum(where + COUNTS[choice], stop)
+    starts = np.arange(0, n, BLOCK)
+    begins = np.zeros(n, bool)
+    cursor, end = starts, stop[starts]
+    while len(cursor):
+        begins[cursor] = True
+        cursor = after[cursor]
+        cursor, end = cursor[cursor < end], end[cursor < end]
+    at = np.nonzero(begins)[0]
+    chosen = choice[at]
+    words = chosen.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(chosen):
+        rows = np.nonzero(chosen == s)[0]
+        if s == 0:
+            words[rows] |= (np.cumsum(big) - 1)[at[rows]].astype(np.uint64)
+        elif BITS[s]:
+            place = at[rows][:, None] + np.arange(COUNTS[s])
+            value = np.where(place < stop[at[rows]][:, None], ids[np.minimum(place, n - 1)], np.uint64(0))
+            words[rows] |= np.bitwise_or.reduce(value << (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64), axis=1)
+    return np.searchsorted(at, starts).astype(np.uint32), words, ids[big]
 
 
 def unpack(n: int, offsets: np.ndarray, words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -148,8 +133,8 @@ def record(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> by
     return MAGIC + struct.pack("<I", len(body)) + body
 
 
-def records(content: bytes, ids: bool = True) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray | None]]:
-    """Of each record of a file: document ids, tokens of each, and, unless ids is false, the ids themselves."""
+def records(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Of each record of a file: document ids, tokens of each, and the ids themselves."""
     at = 0
     while at < len(content):
         if content[at : at + 4] != MAGIC:
@@ -169,7 +154,7 @@ def records(content: bytes, ids: bool = True) -> Iterator[tuple[list[int | None]
         p += 4 * n_blocks
         words = np.frombuffer(content, "<u8", n_words, p)
         escapes = np.frombuffer(content, "<u8", n_escapes, p + 8 * n_words)
-        yield [int(x) if k else None for x, k in zip(doc, known)], counts, unpack(n_ids, offsets, words, escapes) if ids else None
+        yield [int(x) if k else None for x, k in zip(doc, known)], counts, unpack(n_ids, offsets, words, escapes)
         at += length + 1
 
 
@@ -252,8 +237,8 @@ class TextEncoder:
         rows = [i for i, x in enumerate(out) if x is None]
         cut = pc.split_pattern(pa.array([batch[i] for i in rows], pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
-        # None: begins or ends with white space, or is empty, so that its text is to be cut with more care
-        value = [None if not x or x[0].isspace() or x[-1].isspace() else self._ids(x, " ") for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        words, chunk = self.words, self._chunk
+        value = [words[" " + x] if x.isalpha() and x.isascii() else chunk(x) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         each = list(map(value.__getitem__, coded.indices.to_numpy().tolist()))
         ends = cut.offsets.to_pylist()
         for i, a, b in zip(rows, ends, ends[1:]):
@@ -276,10 +261,13 @@ class TextEncoder:
             piece = _ALPHABET[ord(piece[0])] + piece[1:]
         return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
 
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of a chunk behind a space; None where it begins or ends with white space, or is empty, so that its text is to
+        be cut with more care."""
+        return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._ids(chunk, " ")
+
     def _ids(self, chunk: str, lead: str) -> bytes:
         """Ids of a chunk behind `lead`, a space or nothing."""
-        if chunk.isascii() and chunk.isalpha():
-            return self.words[lead + chunk]
         if _PLAIN.fullmatch(chunk):
             return b"".join(map(self.words.__getitem__, _CUT.findall(lead + chunk)))
         return self._whole(lead + chunk)
@@ -344,13 +332,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(docs)), pa.array(docs, pa.int64()), pa.array(start + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["path", "doc_id", "local_start", "n_tokens", "ids_crc32"])
                     start += int(ends[-1]) if len(ends) else 0
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [sum(int(c.sum(dtype=np.int64)) for _, c, _ in records(x.as_buffer().to_pybytes(), ids=False)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["path", "total"])
-
-    rows = files.mapInArrow(decode, "path string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
-    per_file = files.mapInArrow(totals, "path string, total long").select("path", "total", *order)  # one row a file
+    # narrow rows, kept: the files are read once, and their totals come of what was read
+    rows = materialise(files.mapInArrow(decode, "path string, doc_id long, local_start long, n_tokens long, ids_crc32 long"), "read")
+    per_file = rows.groupBy("path").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("total")).select("path", "total", *order)
     per_part = per_file.groupBy("part").agg(F.sum("total").alias("total"))  # one row a task of the writer
     earlier = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     per_part = per_part.select("part", earlier.alias("part_start"))
