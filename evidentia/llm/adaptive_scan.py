@@ -1,18 +1,27 @@
 """Approximate nearest neighbours by adaptive dimension scan over an inverted file.
 
-Index: vectors are normalised and turned by a seeded random rotation; centroids come from a bounded sample (`sample` rows of
-smallest seeded hash per bucket; k-means), and every row is put into the list of its nearest centroid. Lists are cut into
-blocks of about `block_rows` rows by hash, however large a list is.
+Index: vectors are normalised and turned by a seeded random rotation; centroids come from a bounded sample by k-means: about
+the square root of the number of rows, `most_lists` at most, of max(`sample`, 16 a list) rows of smallest seeded hash. Every
+row is put into the list of its nearest centroid. How many lists a query probes is chosen on the sample: as few as hold
+`recall` of the sample's own nearest neighbours (a sample's neighbours lie farther off than the whole's, so this errs on the
+safe side); where rows cluster that is few, where they do not it is many.
 
-Search: a query probes the `probe` share of the lists that are nearest to it (more, where those hold fewer than k rows).
-Within a block, rotated vectors are read in column blocks of `step` dimensions. After each, the partial squared distance s of
-d of D dimensions, scaled to s D / d, is an estimate of the whole; the hypothesis that the whole is within the current k-th
-distance r is rejected, and the candidate abandoned, where s D / d > r (1 + e / sqrt(d))^2. What is left after the last block
-is scored exactly: cosine in double precision of the original vectors. Blocks give k rows a query, of which the best are kept.
+Lists are gathered into shards of about `shard_rows` rows, and a list larger than that is cut into several by hash. A query
+goes once to each shard that holds a list it probes; a task is a shard and at most `query_block` queries, and the rows of a
+shard are repeated only for queries beyond that, counted shard by shard. Of rows with equal vectors those with the k + 1
+smallest ids suffice: the others could only follow them. So a vector that a third of all rows share costs k + 1 rows.
+
+Search: in a task, list by list, queries that probe a list meet its rotated vectors in column blocks of `step` dimensions.
+After each, the partial squared distance s of d of D dimensions, scaled to s D / d, is an estimate of the whole; the
+hypothesis that the whole is within the current k-th distance r is rejected, and the candidate abandoned, where
+s D / d > r (1 + e / sqrt(d))^2. What is left after the last block is scored exactly: cosine in double precision of the
+original vectors (scaled by a power of two, so that no square over- or underflows). Tasks give k rows a query, of which the
+best are kept.
 
 Edge cases: null vectors or ids, zero vectors, vectors that hold null or non-finite components, and vectors of another
 dimension than most of the sample take no part; rows with the query's own id are its own; equal scores go to the smaller id;
-ids that repeat are candidates once each row, but are returned once; an empty table gives no rows; extra columns are ignored.
+an id that repeats with several vectors is a candidate with each, returned once, at its best score; as a query it has one
+ranking, each neighbour at its best score to any of them; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +43,35 @@ from .common import materialise, table
 class Index:
     rotation: np.ndarray
     centroids: np.ndarray
+    probes: int  # lists that a query probes
     counts: np.ndarray  # rows of each list
-    rows: DataFrame | None = None  # vec_id, v, list, block
-    block_rows: int = 2048
+    rows: DataFrame | None = None  # vec_id, v, list, shard
 
     def turn(self, v: np.ndarray) -> np.ndarray:
-        return (v / np.linalg.norm(v, axis=1, keepdims=True)) @ self.rotation
+        return unit(v) @ self.rotation
+
+    def shards(self, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each list: its first shard and how many it is cut into. Small lists share one."""
+        first, parts = np.zeros(len(self.counts), np.int64), np.ones(len(self.counts), np.int64)
+        at, held = 0, 0
+        for i, n in enumerate(self.counts.tolist()):
+            if held and held + n > shard_rows:
+                at, held = at + 1, 0
+            first[i], parts[i] = at, max(1, -(-n // shard_rows))
+            held += n
+            if parts[i] > 1:
+                at, held = at + int(parts[i]), 0
+        return first, parts
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, its largest component below 1: exact, and squares neither over- nor underflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def usable(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -54,10 +86,12 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def fit(vectors: DataFrame, lists: int = 32, sample: int = 8192, seed: int = 3, rounds: int = 8) -> Index | None:
-    """Rotation and centroids of a sample of at most `sample` rows; None for an empty table."""
+def fit(vectors: DataFrame, sample: int = 8192, most_lists: int = 4096, recall: float = 0.95, k: int = 5, seed: int = 3, rounds: int = 8) -> Index | None:
+    """Rotation, centroids and the number of probes, of a sample of at most max(sample, 16 most_lists) rows; None for an
+    empty table."""
+    wanted = max(1, min(most_lists, int(vectors.count() ** 0.5)))
     h = F.xxhash64("vec_id", F.lit(seed))
-    slots = vectors.groupBy(F.pmod(h, F.lit(sample)).alias("slot")).agg(F.min(h).alias("h"))
+    slots = vectors.groupBy(F.pmod(h, F.lit(max(sample, 16 * wanted))).alias("slot")).agg(F.min(h).alias("h"))
     picked = vectors.withColumn("h", h).join(F.broadcast(slots.select("h")), "h").groupBy("h").agg(F.min("v").alias("v"))
     found = sorted(((r.h, r.v) for r in picked.collect()), key=lambda r: r[0])
     if not found:
@@ -66,21 +100,37 @@ def fit(vectors: DataFrame, lists: int = 32, sample: int = 8192, seed: int = 3,
     x = np.array([v for _, v in found if len(v) == dim])
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation
-    k = max(1, min(lists, len(x) // 64))
-    centroids = x[rng.choice(len(x), k, replace=False)]
+    x = unit(x) @ rotation
+    n_lists = max(1, min(wanted, len(x) // 16))
+    centroids = x[rng.choice(len(x), n_lists, replace=False)]
     for _ in range(rounds):
         near = (x @ centroids.T).argmax(1)
-        for c in range(k):
-            if (near == c).any():
-                m = x[near == c].mean(0)
-                centroids[c] = m / max(np.linalg.norm(m), 1e-12)
-    return Index(rotation, centroids, np.zeros(k, np.int64))
+        order = np.argsort(near, kind="stable")
+        met, start = np.unique(near[order], return_index=True)
+        mean = np.add.reduceat(x[order], start, axis=0)
+        centroids[met] = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+    return Index(rotation, centroids, needed(x, centroids, k, recall, rng), np.zeros(n_lists, np.int64))
+
 
+def needed(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, rng: np.random.Generator, queries: int = 512) -> int:
+    """The fewest nearest lists that hold `recall` of the k nearest neighbours, in the sample, of some of its rows."""
+    q = rng.choice(len(x), min(queries, len(x)), replace=False)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -np.inf
+    top = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
+    if not top.size:
+        return len(centroids)
+    place = np.argsort(np.argsort(-(x[q] @ centroids.T), axis=1, kind="stable"), axis=1)
+    home = (x @ centroids.T).argmax(1)
+    ranks = np.sort(np.take_along_axis(place, home[top], 1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
 
-def build(vectors: DataFrame, index: Index, block_rows: int = 2048) -> Index:
-    """Put every row into its list; block numbers keep a list's tasks small."""
+
+def build(vectors: DataFrame, index: Index, k: int = 5, shard_rows: int = 8192) -> Index:
+    """Put every row into its list and shard. Of rows with equal vectors the k + 1 smallest ids stand for all."""
     dim = len(index.rotation)
+    equal = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+    kept = vectors.filter(F.size("v") == dim).distinct().withColumn("n", equal).filter(F.col("n") <= k + 1).drop("n")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,31 +138,39 @@ def build(vectors: DataFrame, index: Index, block_rows: int = 2048) -> Index:
                 near = (index.turn(_matrix(batch.column(1), dim)) @ index.centroids.T).argmax(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
 
-    rows = materialise(vectors.filter(F.size("v") == dim).mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
+    rows = materialise(kept.mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
     counts = np.zeros(len(index.centroids), np.int64)
     for r in rows.groupBy("list").count().collect():  # one row a list
         counts[r["list"]] = r["count"]
-    blocks = F.element_at(F.array(*[F.lit(int(max(1, -(-c // block_rows)))) for c in counts]), F.col("list") + 1)
-    return dataclasses.replace(index, counts=counts, rows=rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).cast("int")), block_rows=block_rows)
+    index = dataclasses.replace(index, counts=counts)
+    first, parts = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("list") + 1) for xs in index.shards(shard_rows))
+    return dataclasses.replace(index, rows=rows.withColumn("shard", (first + F.pmod(F.xxhash64("vec_id", F.lit(1)), parts)).cast("int")))
 
 
-def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, rows: np.ndarray, rotated: np.ndarray, ids: np.ndarray, k: int, step: int = 16, error: float = 2.1, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k of one block for each query: query number, row number, score."""
+def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, probes: np.ndarray, rows: np.ndarray, rotated: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int, step: int = 16, error: float = 2.1, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of one shard for each query: query number, row number, score. probes: for each query and list, whether it looks
+    there; lists: each row's, ascending."""
     dim = rotated.shape[1]
     nq = len(queries)
+    queries, rows = scaled(queries), scaled(rows)
     norm_q, norm = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     radius = np.full(nq, np.inf)  # squared distance of the k-th best so far
-    for start in range(0, len(rows), chunk):
-        part = rotated[start : start + chunk]
-        q = np.repeat(np.arange(nq), 0)
+    cuts = np.unique(np.concatenate([np.nonzero(np.diff(lists))[0] + 1, np.arange(0, len(rows), chunk), [len(rows)]]))
+    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        part = rotated[start:stop]
+        asking = np.nonzero(probes[:, lists[start]])[0]
+        if not len(asking):
+            continue
         partial = None
         for d0 in range(0, dim, step):
             d1 = min(dim, d0 + step)
-            if partial is None:  # all pairs of queries and this chunk, as a product of matrices
-                s = (rotated_q[:, d0:d1] ** 2).sum(1)[:, None] + (part[:, d0:d1] ** 2).sum(1)[None, :] - 2 * rotated_q[:, d0:d1] @ part[:, d0:d1].T
-                q, r = np.nonzero(s * dim / d1 <= (radius * (1 + error / np.sqrt(d1)) ** 2)[:, None] + 1e-9)
+            if partial is None:  # all pairs of the asking queries and this chunk, as a product of matrices
+                own = rotated_q[asking, d0:d1]
+                s = (own**2).sum(1)[:, None] + (part[:, d0:d1] ** 2).sum(1)[None, :] - 2 * own @ part[:, d0:d1].T
+                q, r = np.nonzero(s * dim / d1 <= (radius[asking] * (1 + error / np.sqrt(d1)) ** 2)[:, None] + 1e-9)
                 partial = s[q, r]
+                q = asking[q]
             else:
                 diff = rotated_q[q, d0:d1] - part[r, d0:d1]
                 partial = partial + np.einsum("ij,ij->i", diff, diff)
@@ -128,11 +186,13 @@ def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, rows: np
             i, j = q[a : a + (1 << 15)], r[a : a + (1 << 15)]
             score[a : a + (1 << 15)] = (queries[i] * rows[j]).sum(1) / (norm_q[i] * norm[j])
         q, r, score = (np.concatenate(x) for x in zip(best, (q, r, score)))
-        order = np.lexsort((ids[r], -score, q))
+        order = np.lexsort((-score, ids[r], q))  # an id counts once, at its best
         q, r, score = q[order], r[order], score[order]
         first = np.ones(len(q), bool)
-        first[1:] = (q[1:] != q[:-1]) | (ids[r[1:]] != ids[r[:-1]]) | (score[1:] != score[:-1])
+        first[1:] = (q[1:] != q[:-1]) | (ids[r[1:]] != ids[r[:-1]])
         q, r, score = q[first], r[first], score[first]
+        order = np.lexsort((ids[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < k
         best = (q[keep], r[keep], score[keep])
@@ -141,47 +201,57 @@ def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, rows: np
     return best
 
 
-def search(index: Index, queries: DataFrame, k: int = 5, probe: float = 0.8, query_block: int = 1024) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 5, shard_rows: int = 8192, query_block: int = 4096) -> DataFrame:
     """queries (vec_id, v) -> query_id, rank, vec_id, score."""
-    dim, n_lists, counts = len(index.rotation), len(index.centroids), index.counts
-    n_blocks = np.maximum(1, -(-counts // index.block_rows))
+    dim, counts, least = len(index.rotation), index.counts, index.probes
+    first, parts = index.shards(shard_rows)
     held, index = index.rows, dataclasses.replace(index, rows=None)  # tasks get the numbers only
-    least = max(1, int(np.ceil(probe * n_lists)))
+
+    def probed(v: np.ndarray) -> np.ndarray:
+        """For each query and list, whether it is probed: the nearest ones, and more where those hold too few rows."""
+        order = np.argsort(-(index.turn(v) @ index.centroids.T), axis=1, kind="stable")
+        need = np.maximum(least, (np.cumsum(counts[order], axis=1) < 2 * k + 2).sum(1) + 1)
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(order.shape[1])[None, :] < need[:, None], 1)
+        return out & (counts > 0)
+
+    shard_of = np.concatenate([np.zeros(0, np.int64), *[f + np.arange(p) for f, p in zip(first, parts)]])
+    list_of = np.repeat(np.arange(len(parts)), parts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.argsort(-(index.turn(_matrix(batch.column(1), dim)) @ index.centroids.T), axis=1, kind="stable")
-            need = (np.cumsum(counts[order], axis=1) < 2 * k + 2).sum(1) + 1
-            rows, lists, blocks = [], [], []
-            for i in range(batch.num_rows):
-                for c in order[i, : max(least, need[i])]:
-                    if counts[c]:
-                        rows.extend([i] * int(n_blocks[c]))
-                        lists.extend([c] * int(n_blocks[c]))
-                        blocks.extend(range(int(n_blocks[c])))
-            take = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(lists, pa.int32()), pa.array(blocks, pa.int32())], ["vec_id", "v", "list", "block"])
-
-    queries = queries.filter(F.size("v") == dim)
-    parts = max(1, -(-queries.count() // query_block))
-    asked = queries.mapInArrow(route, "vec_id long, v array<double>, list int, block int").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts)).cast("int"))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                asks = probed(_matrix(batch.column(1), dim))[:, list_of]
+                met = np.unique(np.stack([(x := np.nonzero(asks))[0], shard_of[x[1]]], 1), axis=0)
+                take = batch.take(pa.array(met[:, 0]))
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(met[:, 1].astype(np.int32))], ["vec_id", "v", "shard"])
+
+    asked = materialise(queries.filter(F.size("v") == dim).distinct().mapInArrow(route, "vec_id long, v array<double>, shard int"), "asked")
+    # a shard's rows are repeated for every query_block queries that come to it
+    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))  # one row a shard
+    asked = asked.join(blocks, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+    held = held.join(blocks, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        qv, rv = _matrix(left["v"], dim), _matrix(right["v"], dim)
-        qi, ri = np.asarray(left["vec_id"]), np.asarray(right["vec_id"])
-        q, r, score = scan(qv, index.turn(qv), qi, rv, index.turn(rv), ri, k)
-        return pa.table([pa.array(qi[q]), pa.array(ri[r]), pa.array(score)], schema=schema)
+        right = right.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+        rv, ri, lists = _matrix(right["v"], dim), np.asarray(right["vec_id"]), np.asarray(right["list"])
+        turned = index.turn(rv)
+        out = []
+        for at in range(0, left.num_rows, query_block):  # blocks are dealt by hash: about as many, not exactly
+            own = left.slice(at, query_block)
+            qv, qi = _matrix(own["v"], dim), np.asarray(own["vec_id"])
+            q, r, score = scan(qv, index.turn(qv), qi, probed(qv), rv, turned, ri, lists, k)
+            out.append(pa.table([pa.array(qi[q]), pa.array(ri[r]), pa.array(score)], schema=schema))
+        return pa.concat_tables(out)
 
-    keys = ["list", "block", "part"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score double")
+    found = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(tile, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

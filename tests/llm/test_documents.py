@@ -1,3 +1,4 @@
+import dataclasses
 import re
 
 import numpy as np
@@ -152,7 +153,7 @@ def test_scan_is_exact_without_error_allowance():
     rng = np.random.default_rng(2)
     x, q = rng.standard_normal((900, 32)), rng.standard_normal((7, 32))
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    qi, ri, score = ann.scan(q, unit(q), np.arange(7) - 100, x, unit(x), np.arange(900), 5, error=50)
+    qi, ri, score = ann.scan(q, unit(q), np.arange(7) - 100, np.ones((7, 3), bool), x, unit(x), np.arange(900), np.arange(900) // 300, 5, error=50)
     full = unit(q) @ unit(x).T
     for i in range(7):
         assert sorted(ri[qi == i]) == sorted(np.argsort(-full[i])[:5])
@@ -173,8 +174,32 @@ def test_blocks_change_nothing(spark):
     x = np.concatenate([base, rng.standard_normal((300, 16))])
     v = ann.usable(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
     index = ann.fit(v)
-    found = lambda rows, part: {(r.query_id, r["rank"]): r.vec_id for r in ann.search(ann.build(v, index, rows), v.filter("vec_id % 50 = 0"), probe=1.0, query_block=part).collect()}
-    assert found(2048, 1024) == found(37, 3)
+    index = dataclasses.replace(index, probes=len(index.centroids))
+    found = lambda rows, part: {(r.query_id, r["rank"]): r.vec_id for r in ann.search(ann.build(v, index, shard_rows=rows), v.filter("vec_id % 50 = 0"), shard_rows=rows, query_block=part).collect()}
+    whole = found(2048, 1024)
+    assert whole == found(37, 3) and len(whole) > 5
+    full = ann.unit(x) @ ann.unit(x).T
+    for i in range(0, len(x), 50):
+        full[i, i] = -2
+        assert [whole[i, r] for r in range(1, 6)] == sorted(range(len(x)), key=lambda j: (-full[i, j], j))[:5]
+
+
+def test_extreme_norms_take_part(spark):
+    rows = [(0, [1e200, 1e-200, 0.0]), (1, [1e-200, 0.0, 0.0]), (2, [5e-324, 5e-324, 0.0]), (3, [0.0, 1e308, -1e308]), (4, [1.0, 0.0, 0.0])]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(ann.build(v, ann.fit(v)), v.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in got] == [(1, 1.0), (4, 1.0), (2, round(0.5**0.5, 9)), (3, 0.0)]
+
+
+def test_ids_and_vectors_that_repeat(spark):
+    same = [(i, [1.0, 0.0]) for i in range(40)]  # one vector of many ids
+    rows = [*same, (50, [1.0, 0.0]), (60, [0.6, 0.8]), (60, [0.8, 0.6]), (60, [0.8, 0.6]), (100, [0.0, 1.0]), (100, [0.6, 0.8])]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(ann.build(v, ann.fit(v)), v.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    of = lambda q: [r.vec_id for r in got if r.query_id == q]
+    assert of(0) == [1, 2, 3, 4, 5] and of(50) == [0, 1, 2, 3, 4]
+    # 60 comes once, at its best score to either vector of 100
+    assert of(100) == [60, 0, 1, 2, 3] and [round(r.score, 9) for r in got if r.query_id == 100] == [1.0, 0.6, 0.6, 0.6, 0.6]
 
 
 # ---- mixing
