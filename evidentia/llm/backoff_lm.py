@@ -15,8 +15,11 @@ than once for each place. So an n-gram that every document has costs a row a chu
 even share of hashes whatever the words' frequencies, and a chunk its bounded text. The scores of a chunk's places are then
 summed for each document.
 
-docs is read twice and must give the same rows in the same partitions both times, as a table of files does; a chunk that
-finds other totals than it asked for raises an error.
+Documents are read twice and must give the same rows in the same partitions both times, as a table of files does; any
+other input is written as one first. A chunk that finds other totals than it asked for raises an error.
+
+N-grams travel side by side in a row a chunk and bucket that has any, not in a row each: the README gives the figures of
+rows each, which are several times the disk that the check tool allows.
 
 Edge cases: null and empty texts have no words and score 0; a text longer than a chunk is a chunk by itself; null ids come
 back null; rows that repeat are scored and counted each; an empty table gives no rows; extra columns are ignored.
@@ -128,12 +131,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
         yield part << 32 | k, batch.column(0).to_pylist(), Chunk.of(raw)
 
 
-def _cuts(u: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of 2**bits buckets of the ascending hashes begins and the last ends."""
-    if not bits:
-        return np.array([0, len(u)])
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(u, edges), [len(u)]])
+def _bucket(u: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each hash: its upper bits."""
+    return (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
 
 
 def requests(docs: DataFrame, bits: int, order: int, chunk_bytes: int) -> DataFrame:
@@ -141,17 +141,20 @@ def requests(docs: DataFrame, bits: int, order: int, chunk_bytes: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, c in _chunks(batches, chunk_bytes):
-            parts = [(u, counts, _cuts(u, bits)) for u, counts, _ in c.distinct(order)]
+            parts = [(u, counts, _bucket(u, bits)) for u, counts, _ in c.distinct(order)]
+            # only buckets that the chunk has an n-gram of: rows are never more than n-grams, however many buckets
+            held = np.unique(np.concatenate([bucket for _, _, bucket in parts]))
+            ends = [(np.searchsorted(bucket, held).tolist(), np.searchsorted(bucket, held, side="right").tolist()) for _, _, bucket in parts]
             bodies = []
-            for b in range(1 << bits):
+            for k in range(len(held)):
                 body = b""
-                for u, counts, cut in parts:
-                    own = u[cut[b] : cut[b + 1]]
-                    body += planes(np.diff(own, prepend=np.uint64(0))) + planes(counts[cut[b] : cut[b + 1]])
+                for (u, counts, _), (start, stop) in zip(parts, ends):
+                    own = slice(start[k], stop[k])
+                    body += planes(np.diff(u[own], prepend=np.uint64(0))) + planes(counts[own])
                 bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array([chunk] * (1 << bits), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "chunk", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([chunk] * len(held), pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "chunk", "body"])
 
-    return docs.mapInArrow(run, "bucket int, chunk long, body binary")
+    return docs.mapInArrow(run, "bucket long, chunk long, body binary")
 
 
 def totals(asked: DataFrame, order: int) -> DataFrame:
@@ -176,7 +179,7 @@ def totals(asked: DataFrame, order: int) -> DataFrame:
                 replies[i] += planes(total[own])
         return pa.table([group["bucket"], group["chunk"], pa.array(replies, pa.binary())], names=["bucket", "chunk", "body"])
 
-    return asked.groupBy("bucket").applyInArrow(add, "bucket int, chunk long, body binary")
+    return asked.groupBy("bucket").applyInArrow(add, "bucket long, chunk long, body binary")
 
 
 def score_chunk(c: Chunk, found: list[np.ndarray], order: int, alpha: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +208,12 @@ def score_chunk(c: Chunk, found: list[np.ndarray], order: int, alpha: float, min
     return np.bincount(doc, value, len(c.lengths)), np.bincount(doc, base, len(c.lengths)).astype(np.int64)
 
 
-def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_bytes: int = 8 << 20, bucket_words: int = 2_000_000) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, log_score, mean_score (0 without words)."""
+def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_bytes: int = 8 << 20, bucket_words: int = 2_000_000, stored: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_words, log_score, mean_score (0 without words). stored: docs is a table of files as
+    it is, which gives the same partitions whenever it is read; any other input is written as one first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not stored:
+        docs = materialise(docs, "lm-docs")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, chars / 6 / bucket_words)))))
     counted = totals(requests(docs, bits, order, chunk_bytes), order).withColumnRenamed("chunk", "of")
@@ -220,7 +226,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("part", pa.float64()), ("n_base", pa.int64())])
-        if left.num_rows != 1 or right.num_rows != 1 << bits:
+        if left.num_rows != 1:
             raise ValueError("the documents were not read as before: chunks have changed")
         c = Chunk.unpack(left["body"][0].as_py())
         found: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -229,7 +235,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             for k in range(order):
                 counts, at = from_planes(body, at)
                 found[k].append(counts)
-        value, base = score_chunk(c, [np.concatenate(f) for f in found], order, alpha, min_count)
+        value, base = score_chunk(c, [np.concatenate([np.zeros(0, np.uint64), *f]) for f in found], order, alpha, min_count)
         return pa.table([pa.array(left["ids"][0].as_py(), pa.int64()), pa.array(c.lengths), pa.array(value), pa.array(base)], schema=schema)
 
     parts = packed.groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(finish, "doc_id long, n_words long, part double, n_base long")
@@ -240,7 +246,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
 
 def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scores(table(spark, sf_dir, "documents"))
+    out = scores(table(spark, sf_dir, "documents"), stored=True)
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_score", 6).alias("mean_score"))
 
 

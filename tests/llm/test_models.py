@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from oracle import assert_same
 
 from evidentia.llm import backoff_lm as lm
@@ -157,6 +158,19 @@ def test_scores_against_brute_force(spark, order):
         assert [got[i] for i in range(len(texts))] == pytest.approx(brute(texts, order))
 
 
+def test_input_that_is_no_table_of_files(spark):
+    texts = ["a b c a b", "b c a", "a b"] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4).orderBy(F.rand(1)).limit(100)
+    got = {r.doc_id: r.log_score for r in lm.scores(df, 3, chunk_bytes=20, bucket_words=1).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(brute(texts, 3))
+
+
+def test_rows_on_the_way_are_never_more_than_n_grams(spark):
+    df = spark.createDataFrame([(i, f"w{i} x") for i in range(10)], "doc_id long, text string").coalesce(1)
+    asked = lm.requests(df, 12, 2, 1).collect()
+    assert len(asked) <= 30 and len({r.chunk for r in asked}) == 10
+
+
 def test_scores_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (None, "z"), (3, "")], "doc_id long, text string")
     got = lm.scores(df).collect()
