@@ -14,10 +14,14 @@ Each record is its line, exactly the declared number of bytes, and one newline.
 The converter turns each record into a WARC one: WARC-Record-ID a version-5 UUID of file, offset and digest (the same on
 every run), WARC-Date from the 14 digits, WARC-Type response or revisit, Content-Type application/http, payload digest the
 base32 SHA-1 of the HTTP body and block digest that of the block written. Of the records with equal payloads of at least
-min_revisit_bytes, that with the largest key is the response and the others revisit it (profile identical-payload-digest).
+min_revisit_bytes, that with the largest key is the response and the others revisit it (profile identical-payload-digest,
+with the response's record id, target and date). Version blocks become warcinfo records.
 
-WARC files are written with Spark's committed text writer (records as raw bytes, the two line ends that close a record as
-its line separator, gzip over the file), hence safe against lost executors and on any file system that Spark writes to.
+WARC files have a gzip member a record, as readers of .warc.gz expect. They are written with Spark's committed text writer,
+hence safe against lost executors and on any file system that Spark writes to. That writer ends each row with a separator,
+so a row (records of about `chunk_bytes` of content) ends with a member that is always the same, a warcinfo record, and the
+separator is that member's last 8 bytes: its text is chosen so that these are ASCII. A file holds a bounded number of rows;
+a longer record is a row by itself. The reader takes any .warc or .warc.gz, one member or many.
 
 Edge cases: a null html is an empty payload; a null url becomes "urn:none", white space in urls is percent-encoded; a
 null key ranks below every number (a group of null keys only: all are responses); rows that repeat a key and payload are
@@ -32,10 +36,12 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, slices, table
@@ -75,16 +81,27 @@ def arc_file(name: str, rows: list[tuple[str, str, str, str, bytes]], version: i
     return bytes(out)
 
 
+def members(content: bytes) -> Iterator[bytes]:
+    """What each gzip member holds; content that is not gzip, as it is."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("gzip member without end")
+            parts.append(one.decompress(view[at : at + (1 << 16)]))
+            at += 1 << 16
+        at = min(at, len(view)) - len(one.unused_data)
+        yield b"".join(parts)
+
+
 def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
     """Fields, body and offset of each record after the version block. The version rules how lines are read; the
     declared length rules where a body ends, whatever the body holds. Gzip members are undone first."""
-    if content[:2] == b"\x1f\x8b":
-        parts, rest = [], content
-        while rest:
-            one = zlib.decompressobj(31)
-            parts.append(one.decompress(rest))
-            rest = one.unused_data
-        content = b"".join(parts)
+    content = b"".join(members(content))
     at, version = 0, 0
     while at < len(content):
         stop = content.find(b"\n", at)
@@ -157,50 +174,78 @@ def convert(arcs: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def decide(keys: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """key, payload_digest -> refers_to, null for responses. Narrow rows only; one digest may hold a third of them: the
-    groups are reduced before the shuffle and joined by a join that Spark splits where it is skewed."""
-    distinct = keys.groupBy("payload_digest", "key").agg(F.max("payload_bytes").alias("payload_bytes"))
-    top = distinct.groupBy("payload_digest").agg(F.max("key").alias("top"))
+    """key, payload_digest -> refers_to and the response's refers_id, refers_uri, refers_date, null for responses. Without
+    payloads; one digest may hold a third of the rows: the groups are reduced before the shuffle and joined by a join that
+    Spark splits where it is skewed."""
+    distinct = keys.groupBy("payload_digest", "key").agg(F.max("payload_bytes").alias("payload_bytes"), F.min(F.struct("record_id", "uri", "date")).alias("own"))
+    top = distinct.groupBy("payload_digest").agg(F.max(F.struct("key", "own")).alias("top"))
     both = distinct.join(top, "payload_digest")
-    revisits = (F.col("payload_bytes") >= min_revisit_bytes) & F.col("top").isNotNull() & ~F.col("key").eqNullSafe(F.col("top"))
-    return both.select("key", "payload_digest", F.when(revisits, F.col("top")).alias("refers_to"))
+    revisits = (F.col("payload_bytes") >= min_revisit_bytes) & F.col("top.key").isNotNull() & ~F.col("key").eqNullSafe(F.col("top.key"))
+    to = {"refers_to": "top.key", "refers_id": "top.own.record_id", "refers_uri": "top.own.uri", "refers_date": "top.own.date"}
+    return both.select("key", "payload_digest", *[F.when(revisits, F.col(v)).alias(k) for k, v in to.items()])
 
 
 def with_types(records: DataFrame, decisions: DataFrame) -> DataFrame:
-    d = decisions.select(F.col("key").alias("d_key"), F.col("payload_digest").alias("d_digest"), "refers_to")
+    d = decisions.withColumnsRenamed({"key": "d_key", "payload_digest": "d_digest"})
     same = (F.coalesce(records.key, F.lit(-1 << 62)) == F.coalesce(d.d_key, F.lit(-1 << 62))) & (records.payload_digest == d.d_digest)
     return records.join(d, same, "left").drop("d_key", "d_digest").withColumn("record_type", F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit")))
 
 
-def _line(title: str, value) -> Column:
-    value = value if isinstance(value, Column) else F.lit(value)
-    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{title}: "), value.cast("string"), F.lit("\r\n")))
-
-
-def warc_bytes() -> Column:
-    """A WARC record, but for the two line ends that close it, of the columns of with_types(). The block of a revisit is
-    the HTTP header alone."""
-    revisit = F.col("record_type") == "revisit"
-    head = F.when(F.col("http_header") == "", F.lit("")).otherwise(F.concat("http_header", F.lit("\r\n\r\n")))
-    block = F.when(revisit, head.cast("binary")).otherwise(F.concat(head.cast("binary"), F.coalesce("payload", F.lit("").cast("binary"))))
-    top = F.concat(
-        F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", F.col("record_id")), _line("WARC-Date", F.col("date")), _line("WARC-Target-URI", F.col("uri")), _line("WARC-IP-Address", F.col("ip")),
-        F.when(F.col("http_header") == "", _line("Content-Type", F.col("mime"))).otherwise(_line("Content-Type", "application/http; msgtype=response")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), _line("WARC-Payload-Length", F.col("payload_bytes")), _line("WARC-Source-Key", F.col("key")),
-        F.when(revisit, F.concat(_line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), _line("WARC-Refers-To-Key", F.col("refers_to")))).otherwise(F.lit("")),
-        F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    return F.concat(top.cast("binary"), block)
-
-
-def write_warc(typed: DataFrame, path: str, records_per_file: int = 2000) -> str:
-    raw = typed.select(warc_bytes().cast("string").alias("value"))
-    raw.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
+    return f"WARC/1.1\r\n{head}WARC-Block-Digest: sha1:{base32_sha1(block)}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def warc_bytes(r: dict) -> bytes:
+    """A WARC record of a row of with_types(). The block of a revisit is the HTTP header alone."""
+    revisit = r["record_type"] == "revisit"
+    head = (r["http_header"] + "\r\n\r\n").encode() if r["http_header"] else b""
+    fields = [
+        ("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"]),
+        ("Content-Type", "application/http; msgtype=response" if head else r["mime"]), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("WARC-Payload-Length", r["payload_bytes"]), ("WARC-Source-Key", r["key"]),
+    ]
+    if revisit:
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", r["refers_id"]),
+            ("WARC-Refers-To-Target-URI", r["refers_uri"]), ("WARC-Refers-To-Date", r["refers_date"]), ("WARC-Refers-To-Key", r["refers_to"]),
+        ]
+    return _record(fields, head if revisit else head + (r["payload"] or b""))
+
+
+def gzip_member(data: bytes) -> bytes:
+    """One member without time or name: the same bytes on every run."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+@cache
+def closing_member() -> bytes:
+    """The member that ends each row: what the version blocks of the archives said, and a number by which the member's
+    last 8 bytes, checksum and length, come out as ASCII."""
+    for n in count():
+        block = f"software: evidentia\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC versions 1 and 2\r\nvariant: {n}\r\n".encode()
+        rid = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo#{n}")
+        out = gzip_member(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{rid}>"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], block))
+        if all(0 < b < 128 and b not in b"\r\n" for b in out[-8:-4]) and max(out[-4:]) < 128:
+            return out
+
+
+def write_warc(typed: DataFrame, path: str, chunk_bytes: int = 4 << 20, chunks_per_file: int = 4) -> str:
+    columns = ["record_type", "record_id", "date", "uri", "ip", "mime", "http_header", "payload_digest", "payload_bytes", "key", "refers_to", "refers_id", "refers_uri", "refers_date", "payload"]
+    whole = closing_member()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "payload", chunk_bytes):
+            packed = b"".join(gzip_member(warc_bytes(r)) for r in batch.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([packed + whole[:-8]], pa.binary())], ["value"])
+
+    raw = typed.select(*columns).mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    raw.write.option("lineSep", whole[-8:].decode("ascii")).option("maxRecordsPerFile", chunks_per_file).text(path)
     return path
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an uncompressed WARC file, by the declared lengths."""
+    """Header fields and block of each record of uncompressed WARC content, by the declared lengths."""
     at = 0
     while at < len(content):
         stop = content.find(b"\r\n\r\n", at)
@@ -208,6 +253,8 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no WARC record at byte {at}")
         fields = dict(x.split(": ", 1) for x in content[at:stop].decode("utf-8", "replace").split("\r\n")[1:])
         length = int(fields["Content-Length"])
+        if stop + 4 + length > len(content):
+            raise ValueError(f"WARC record at byte {at} declares {length} bytes; fewer are left")
         yield fields, content[stop + 4 : stop + 4 + length]
         at = stop + 8 + length
 
@@ -221,7 +268,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for cell in batch.column(0):
                 cols: list[list] = [[] for _ in range(8)]
-                for f, block in warc_records(zlib.decompress(cell.as_buffer(), 31)):
+                for f, block in (x for one in members(cell.as_buffer().to_pybytes()) for x in warc_records(one)):
+                    if "WARC-Block-Digest" in f and f["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
+                        raise ValueError(f"{f['WARC-Record-ID']}: block and digest differ")
+                    if f["WARC-Type"] not in ("response", "revisit"):
+                        continue
                     digest, size = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["WARC-Payload-Length"])
                     if f["WARC-Type"] == "response":
                         payload = block.partition(b"\r\n\r\n")[2] if f["Content-Type"].startswith("application/http") else block
@@ -239,7 +290,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> str:
     """pages -> ARC -> WARC files under path."""
     arcs = pages_to_arc(pages)
-    decisions = decide(convert(arcs, payloads=False).select("key", "payload_digest", "payload_bytes"), min_revisit_bytes)
+    narrow = convert(arcs, payloads=False).select("key", "payload_digest", "payload_bytes", "record_id", "uri", "date")
+    decisions = decide(narrow, min_revisit_bytes)
     return write_warc(with_types(convert(arcs), decisions), path)
 
 

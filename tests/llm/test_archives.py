@@ -58,3 +58,42 @@ def test_short_payloads_may_be_left_alone(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert a.read_warc(spark, a.archive_pages(df, new_path(spark, "w"))).count() == 0
+
+
+def test_files_are_what_readers_expect(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k % 3}</p>" * 50, 0, "") for k in range(9)]
+    path = a.write_warc(*_typed(spark, rows), chunk_bytes=300, chunks_per_file=2)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(files) > 1
+    records = []
+    for content in files:
+        inside = list(a.members(content))
+        assert gzip.decompress(content) == b"".join(inside)  # nothing but members
+        for one in inside:
+            (found,) = a.warc_records(one)  # a member a record
+            records.append(found)
+    for f, block in records:
+        assert f["WARC-Block-Digest"] == f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"
+    assert [f for f, _ in records if f["WARC-Type"] == "warcinfo"]
+    byid = {f["WARC-Record-ID"]: f for f, _ in records if f["WARC-Type"] == "response"}
+    revisits = [f for f, _ in records if f["WARC-Type"] == "revisit"]
+    assert len(byid) == 3 and len(revisits) == 6
+    for f in revisits:
+        to = byid[f["WARC-Refers-To"]]
+        assert (to["WARC-Target-URI"], to["WARC-Date"], to["WARC-Payload-Digest"]) == (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"], f["WARC-Payload-Digest"])
+
+
+def _typed(spark, rows):
+    arcs = a.pages_to_arc(spark.createDataFrame(rows, SCHEMA))
+    keys = a.convert(arcs, payloads=False).select("key", "payload_digest", "payload_bytes", "record_id", "uri", "date")
+    return a.with_types(a.convert(arcs), a.decide(keys)), new_path(spark, "w")
+
+
+def test_any_packing_is_read(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\nhi"
+    record = a._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:x>"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", "u"), ("Content-Type", "application/http"), ("WARC-Payload-Digest", f"sha1:{digest('hi')}"), ("WARC-Payload-Length", 2)], block)
+    for name, content in {"plain": record * 3, "one": gzip.compress(record * 3), "many": gzip.compress(record) * 3}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.warc").write_bytes(content)
+        got = a.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert [(r.payload_digest, r.record_type) for r in got] == [(digest("hi"), "response")] * 3
