@@ -6,8 +6,9 @@ words: the whole sequence; no word: fingerprint zero), XXH64 with seed 42 of eac
 Links (at most `radius` = 3 differing bits): each distinct fingerprint becomes a point, the bit counts of its 32 two-bit
 segments. The Manhattan distance of two points is a lower bound of their Hamming distance, so linked ones lie within 3 of
 each other, and the six bands that the segments form can differ in three at most: two linked points share the counts of
-some three of the six bands. Each point is put into its 20 grid cells (three bands each); points of a cell are compared by
-Manhattan distance first, and then exactly. A cell of more than `block` points is cut into blocks by hash and every pair
+some three of the six bands. Each point is put into its 20 grid cells (the counts of three bands each). Within a cell the
+join is by range: points in order of their total count, each against those whose total is within the radius (totals differ
+by no more than the Manhattan distance), by that distance first, and then exactly. A cell of more than `block` points is cut into blocks by hash and every pair
 of blocks gets a task of its own, so no cell is too large for a task and none is capped. A task gives a spanning forest
 of its links, not all pairs; components of the whole are found over these links.
 
@@ -102,12 +103,16 @@ def _points(fp: np.ndarray) -> np.ndarray:
 
 
 def forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span each group's components. group: ascending; compares each place with those 1, 2, ... behind it."""
+    """Links that span each group's components. group: ascending. In order of total counts, each place is compared with those
+    1, 2, ... behind it, as far as totals are within the radius."""
     n = len(fp)
     parent = np.arange(n)
-    last = np.searchsorted(group, group, side="right")
-    live = np.arange(n)
     points = _points(fp)
+    along = group * 128 + np.bitwise_count(points)
+    order = np.argsort(along, kind="stable")
+    fp, points, along = fp[order], points[order], along[order]
+    last = np.searchsorted(along, along + radius, side="right")
+    live = np.arange(n)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -184,46 +189,45 @@ def links(points: DataFrame, radius: int = 3, block: int = 2000) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id)."""
+def classes(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, fp) -> (doc_id, fp, root, component_id). root: the component's smallest fingerprint."""
     kept = materialise(fps, "fingerprints")
     first = materialise(kept.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     roots = components(links(first.select("fp"), radius))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = materialise(named.join(smallest, "root").select("fp", "component_id"), "classes")
-    return kept.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialise(named.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    return kept.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, fp) -> (doc_id, fp, component_id)."""
+    return classes(fps, radius).drop("root")
 
 
 def dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its smallest id (of rows that repeat it, one; a component of null ids
-    only keeps one of these)."""
-    classes = near_duplicates(with_fingerprints(docs), radius)
+    """docs with one row of each component: that of its smallest id; of rows that repeat it one, and one of a component
+    whose ids are all null."""
+    found = classes(with_fingerprints(docs), radius)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(stays).alias("stays")).filter("stays")
+    kept = materialise(kept, "kept")
+    if not kept.filter("n > 1 or doc_id is null").isEmpty():
+        return _one_each(docs, found)
     rows = docs.withColumn("_fp_id", F.col("doc_id").cast("long"))
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = stay.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
-    counted = materialise(counted, "kept")
-    repeated = counted.filter("n > 1 or doc_id is null").limit(1).count()
     # ids that stay grow with the input: the same shuffle at every size, never a broadcast
-    ids = counted.select(F.col("doc_id").alias("_kept")).hint("merge")
-    out = rows.join(ids, F.col("_fp_id") == F.col("_kept"), "left_semi").drop("_fp_id")
-    if repeated:
-        out = _one_each(docs, classes)
-    return out
+    ids = kept.select(F.col("doc_id").alias("_kept")).hint("merge")
+    return rows.join(ids, F.col("_fp_id") == F.col("_kept"), "left_semi").drop("_fp_id")
 
 
-def _one_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """dedup() where ids repeat or are null: rows are told apart by a number given once and written down."""
+def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """dedup() where an id that stays repeats or is null: rows are told apart by a number given once and written down."""
     numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     fps = materialise(with_fingerprints(numbered, id_col="_row").withColumnRenamed("doc_id", "_row"), "rowprints")
-    by_fp = classes.groupBy("fp").agg(F.min("component_id").alias("component_id"))
-    # null component: all ids null; its root fingerprint tells such components apart only by fp, which is exact for copies
+    by_fp = found.select("fp", "root", "component_id").distinct()
     keyed = numbered.select("_row", F.col("doc_id").cast("long").alias("_id")).join(fps, "_row").join(by_fp, "fp")
-    best = keyed.filter(F.col("_id").eqNullSafe(F.col("component_id")))
-    known = best.filter("component_id is not null").groupBy("component_id").agg(F.min("_row").alias("_row"))
-    unknown = best.filter("component_id is null").groupBy("fp").agg(F.min("_row").alias("_row"))
-    rows = known.select("_row").unionByName(unknown.select("_row"))
-    return numbered.join(rows, "_row", "left_semi").drop("_row")
+    best = keyed.filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
+    return numbered.join(best.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def op10_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
