@@ -10,7 +10,8 @@ the digest of all its sorted distinct terms, behind an 'x'.
 Likeness of two fingerprints: 1 if they are equal; else, the largest over levels of equal entries over subsets that either
 meets (level 0) or that number but eight at least (sparser levels); 0 where either has no entry.
 
-The order of documents (descending id, then text) is cut into ranges of ids of about `rows_per_range` documents: one
+The order of documents (descending id, then text) is cut into ranges of ids of about `rows_per_range` documents (the root
+of their number where that is more); rows of one id are one range. One
 shuffle of the texts by range, neighbours by a window within it, and of each range the first document as the next of the
 range above. The lexicon holds at most `rare` terms for every distinct term of a mean document, whatever the number of
 documents; it is broadcast only where counted to be small, and joined by a shuffle beyond that.
@@ -21,6 +22,9 @@ text; of a single document the next is itself; an empty table gives no rows; ext
 
 from __future__ import annotations
 
+from math import isqrt
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,16 +54,34 @@ def lexicon(docs: DataFrame, n: int, common: int = COMMON, rare: int = RARE) ->
     return materialise(band.select("term", F.array_compact(F.array(*dealt)).alias("slots")), "lexicon")
 
 
-def ranges(docs: DataFrame, n: int, rows_per_range: int = 4000, most: int = 1024) -> list[int]:
-    """Lower bounds of ranges of ids, ascending; the first range has none."""
-    count = max(1, min(most, -(-n // rows_per_range)))
+def ranges(docs: DataFrame, n: int, rows_per_range: int = 4000) -> list[int]:
+    """Lower bounds of ranges of ids, ascending; the first range has none. Ranges of rows_per_range rows, or of the square
+    root of the number of rows where that is more: neither their number nor their size outgrows a task or the driver."""
+    count = max(1, -(-n // max(rows_per_range, isqrt(n))))
     if count == 1:
         return []
-    shares = [F.lit(i / count) for i in range(1, count)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*shares), F.lit(20 * count)).alias("b")).first().b or []
+    shares = F.lit(np.arange(1, count) / count)
+    found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * count)).alias("b")).first().b or []
     return sorted(set(found))
 
 
+def range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many bounds are at most the id, by halving; null ids are in the lowest range."""
+    if not bounds:
+        return F.lit(0)
+    held = F.lit(np.array(bounds, np.int64))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.element_at(held, F.least(middle, F.lit(len(bounds) - 1)) + 1) > doc_id
+        open_ = s["low"] < s["high"]
+        return F.struct(F.when(open_ & ~above, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & above, middle).otherwise(s["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["low"])
+    return F.when(doc_id.isNull(), F.lit(0)).otherwise(found)
+
+
 def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
     both = F.array_intersect(a, b)
     met = F.array_union(F.transform(a, lambda e: F.substring(e, 1, 2)), F.transform(b, lambda e: F.substring(e, 1, 2)))
@@ -74,8 +96,7 @@ def fingerprints(docs: DataFrame, common: int = COMMON, rare: int = RARE, rows_p
     n = docs.count()
     bounds = ranges(docs, n, rows_per_range)
     lex = lexicon(docs, n, common, rare)
-    lit = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    dealt = docs.withColumn("range", F.coalesce(F.size(F.filter(lit, lambda b: b <= F.col("doc_id"))), F.lit(0)))
+    dealt = docs.withColumn("range", range_of(F.col("doc_id"), bounds))
 
     # the first document of each range is the next of the last one above it; the lowest range's next is the topmost
     heads = docs_of_heads(dealt)

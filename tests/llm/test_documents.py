@@ -256,3 +256,12 @@ def test_mix_edges(spark):
     assert out.count() == 15
     empty = mixing.narrow(df.limit(0))
     assert mixing.select(empty, mixing.plan(empty)).count() == 0
+
+
+def test_ranges_of_ids(spark):
+    bounds = [-5, 0, 3, 7, 8, 100]
+    ids = [None, -9, -5, -4, 0, 1, 3, 6, 7, 8, 9, 99, 100, 101]
+    for some in ([], bounds[:1], bounds[:2], bounds[:5], bounds):
+        df = spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1)
+        got = [r.x for r in df.select(imatch.range_of(df.doc_id, some).alias("x")).collect()]
+        assert got == [0 if i is None else sum(b <= i for b in some) for i in ids]
