@@ -5,9 +5,9 @@ both directions run through a window from zero states, and each position's two s
 the learned languages. A document's probabilities are the mean posterior of its positions; the prediction is the largest
 (ties: the language that sorts first), the score that probability.
 
-Training: a bounded sample, `docs_per_lang` documents a language (the smallest seeded hashes in as many hash buckets, over
-all rows that may be learned from), an excerpt of `excerpt` characters of each at a seeded place; Adam, cross-entropy at
-every position, gradients through all steps of a window.
+Training: a bounded sample of `docs_per_lang` documents a language (the smallest seeded hashes in as many hash buckets, over
+all rows that may be learned from) and, of all windows of their whole texts, `windows_per_lang` a language (likewise by
+seeded hash); Adam, cross-entropy at every position, gradients through all steps of a window.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; rows with null lang, null text or null id are not
 learned from; a null id counts as held out; without rows to learn from all is `und`; repeated rows are predicted alike;
@@ -17,13 +17,14 @@ input columns named as outputs are replaced.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, has_letter, table
+from .common import append_columns, has_letter, slices, table, texts
 
 
 @dataclasses.dataclass
@@ -98,6 +99,7 @@ class ByteGru:
             p = np.matmul(out_b, state)
             p += forward[t]
             p += bias
+            p -= p.max(0)
             np.exp(p, out=p)
             p *= (1 if live is None else live) / p.sum(0)
             total += p
@@ -196,14 +198,14 @@ def gradients(m: ByteGru, wins: np.ndarray, length: np.ndarray, target: np.ndarr
     return loss, [d_x, d_u, d_o, d_b]
 
 
-def fit(rows: list[tuple[str, str]], hidden: int = 8, window: int = 64, steps: int = 200, batch: int = 256, rate: float = 0.02, seed: int = 7) -> ByteGru | None:
-    """A network of (lang, text) rows; None without rows."""
+def fit(rows: list[tuple[str, str | bytes]], hidden: int = 8, window: int = 64, steps: int = 200, batch: int = 256, rate: float = 0.02, seed: int = 7) -> ByteGru | None:
+    """A network of (lang, text or window of one) rows; None without rows."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    rows = sorted(rows)
-    raw = [text.encode("utf-8", "surrogatepass") for _, text in rows]
+    rows = sorted((lang, x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass")) for lang, x in rows)
+    raw = [x for _, x in rows]
     wins, doc, length = windows(raw, window)
     target = np.array([langs.index(lang) for lang, _ in rows])[doc]
     k = len(langs)
@@ -232,16 +234,29 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, docs_per_lang: int = 160, excerpt: int = 640, seed: int = 7) -> list[tuple[str, str]]:
-    """(lang, excerpt) rows to learn from. The ids are chosen on narrow columns, in hash buckets that combine before the
-    shuffle; the number of rows collected is docs_per_lang a language at most."""
+def sample(docs: DataFrame, docs_per_lang: int = 160, windows_per_lang: int = 2048, window: int = 64, seed: int = 7) -> list[tuple[str, bytes]]:
+    """(lang, window) rows to learn from: docs_per_lang documents a language at most, of whose whole texts every window may
+    come. Both are chosen by hash in buckets that combine before the shuffle; windows_per_lang a language are collected at
+    most, however long the texts."""
     may = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     chosen = may.select("lang", key.alias("h")).groupBy("lang", F.pmod("h", F.lit(docs_per_lang)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
-    rows = may.select(F.col("lang").cast("string").alias("lang"), "text", key.alias("h")).join(F.broadcast(chosen), ["lang", "h"])
-    at = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int")
-    cut = rows.select("lang", "h", F.substring("text", at, F.lit(excerpt)).alias("text"))
-    return [(r.lang, r.text) for r in cut.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()]
+    rows = may.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), key.alias("h")).join(F.broadcast(chosen), ["lang", "h"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            raw = [x.encode("utf-8", "surrogatepass") for x in texts(batch, "text")]
+            _, doc, length = windows(raw, window)
+            first = np.searchsorted(doc, doc)
+            nth = np.arange(len(doc)) - first
+            parts = [raw[d][n * window : n * window + k] for d, n, k in zip(doc.tolist(), nth.tolist(), length.tolist())]
+            take = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(take), batch.column("h").take(take), pa.array(nth, pa.int64()), pa.array(parts, pa.binary())], ["lang", "h", "nth", "part"])
+
+    place = F.xxhash64("h", "nth", F.lit(seed))
+    cuts = rows.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, nth long, part binary").withColumn("place", place)
+    kept = cuts.groupBy("lang", F.pmod("place", F.lit(windows_per_lang)).alias("slot")).agg(F.min(F.struct("place", "part")).alias("least"))
+    return [(r.lang, bytes(r.part)) for r in kept.select("lang", "least.part").collect()]
 
 
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:

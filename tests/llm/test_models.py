@@ -69,7 +69,37 @@ def test_sample_is_bounded_and_blind_to_held_out(spark):
     df = spark.createDataFrame([(i, "en" if i % 3 else "fr", f"text {i}") for i in range(400)] * 2, "doc_id long, lang string, text string")
     rows = g.sample(df, docs_per_lang=20)
     assert 0 < len(rows) <= 40
-    assert all(zlib.crc32(t.split()[1].encode()) % 5 != 0 for _, t in rows)
+    assert all(zlib.crc32(t.split()[1]) % 5 != 0 for _, t in rows)
+
+
+def test_every_part_of_a_text_may_be_learned_from(spark):
+    text = "".join(f"{i:063d} " for i in range(500))
+    one, two = [i for i in range(30) if zlib.crc32(str(i).encode()) % 5][:2]
+    df = spark.createDataFrame([(one, "en", text), (two, "en", "short é" * 3)], "doc_id long, lang string, text string")
+    rows = g.sample(df, windows_per_lang=100_000)
+    assert sorted(x for _, x in rows) == sorted([*(text[k : k + 64].encode() for k in range(0, len(text), 64)), ("short é" * 3).encode()])
+    few = g.sample(df, windows_per_lang=50)
+    assert 25 < len(few) <= 50 and any(int(x) > 400 for _, x in few if x[:1] == b"0") and any(int(x) < 100 for _, x in few if x[:1] == b"0")
+
+
+def test_large_logits(spark):
+    m = g.fit([("a", "xyzzy plugh " * 30), ("b", "éàü ßñ " * 30)], steps=5, batch=16)
+    m.b = np.array([300.0, 0.0], np.float32)
+    assert m.pooled(["plugh", "é"]) == pytest.approx(np.array([[1.0, 0.0]] * 2))
+
+
+def test_language_query_against_each_text_by_itself(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = g.fit(g.sample(docs.select("doc_id", "lang", "text")))
+    got = {r.doc_id: r for r in g.op7_language_id(spark, sf).collect()}
+    for d in docs.limit(60).collect():
+        raw = d.text.encode()
+        wins, _, length = g.windows([raw], m.window)
+        post = g._forward(m, wins, length)["p"]
+        mean = sum((post[:n, w].sum(0) for w, n in enumerate(length)), np.zeros(len(m.langs))) / max(1, len(raw))
+        letters = any(c.isalpha() for c in d.text)
+        assert got[d.doc_id].lang_pred == (m.langs[int(mean.argmax())] if letters else "und")
+        assert got[d.doc_id].score == pytest.approx(float(mean.max()) if letters else 0.0, abs=1e-4)
 
 
 # ---- quality
