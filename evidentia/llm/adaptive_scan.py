@@ -6,7 +6,8 @@ row is put into the list of its nearest centroid. How many lists a query probes
 `recall` of the sample's own nearest neighbours (a sample's neighbours lie farther off than the whole's, so this errs on the
 safe side); where rows cluster that is few, where they do not it is many.
 
-Lists are gathered into shards of about `shard_rows` rows, and a list larger than that is cut into several by hash. A query
+Lists are gathered into shards of about `shard_rows` rows (eight times the root of the rows, within 1,024 and 16,384), and a
+list larger than that is cut into several by hash. A query
 goes once to each shard that holds a list it probes; a task is a shard and at most `query_block` queries, and the rows of a
 shard are repeated only for queries beyond that, counted shard by shard. Of rows with equal vectors those with the k + 1
 smallest ids suffice: the others could only follow them. So a vector that a third of all rows share costs k + 1 rows.
@@ -29,6 +30,7 @@ from __future__ import annotations
 import dataclasses
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,15 @@ class Index:
     centroids: np.ndarray
     probes: int  # lists that a query probes
     counts: np.ndarray  # rows of each list
+    shard_rows: int = 1024
     rows: DataFrame | None = None  # vec_id, v, list, shard
 
     def turn(self, v: np.ndarray) -> np.ndarray:
         return unit(v) @ self.rotation
 
-    def shards(self, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    def shards(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each list: its first shard and how many it is cut into. Small lists share one."""
-        first, parts = np.zeros(len(self.counts), np.int64), np.ones(len(self.counts), np.int64)
+        first, parts, shard_rows = np.zeros(len(self.counts), np.int64), np.ones(len(self.counts), np.int64), self.shard_rows
         at, held = 0, 0
         for i, n in enumerate(self.counts.tolist()):
             if held and held + n > shard_rows:
@@ -126,7 +129,7 @@ def needed(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, rng: np.
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
 
 
-def build(vectors: DataFrame, index: Index, k: int = 5, shard_rows: int = 8192) -> Index:
+def build(vectors: DataFrame, index: Index, k: int = 5, shard_rows: int | None = None) -> Index:
     """Put every row into its list and shard. Of rows with equal vectors the k + 1 smallest ids stand for all."""
     dim = len(index.rotation)
     equal = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
@@ -142,8 +145,8 @@ def build(vectors: DataFrame, index: Index, k: int = 5, shard_rows: int = 8192)
     counts = np.zeros(len(index.centroids), np.int64)
     for r in rows.groupBy("list").count().collect():  # one row a list
         counts[r["list"]] = r["count"]
-    index = dataclasses.replace(index, counts=counts)
-    first, parts = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("list") + 1) for xs in index.shards(shard_rows))
+    index = dataclasses.replace(index, counts=counts, shard_rows=shard_rows or min(16384, max(1024, 8 * isqrt(int(counts.sum())))))
+    first, parts = (F.element_at(F.lit(x), F.col("list") + 1) for x in index.shards())
     return dataclasses.replace(index, rows=rows.withColumn("shard", (first + F.pmod(F.xxhash64("vec_id", F.lit(1)), parts)).cast("int")))
 
 
@@ -201,10 +204,10 @@ def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, probes:
     return best
 
 
-def search(index: Index, queries: DataFrame, k: int = 5, shard_rows: int = 8192, query_block: int = 4096) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096) -> DataFrame:
     """queries (vec_id, v) -> query_id, rank, vec_id, score."""
     dim, counts, least = len(index.rotation), index.counts, index.probes
-    first, parts = index.shards(shard_rows)
+    first, parts = index.shards()
     held, index = index.rows, dataclasses.replace(index, rows=None)  # tasks get the numbers only
 
     def probed(v: np.ndarray) -> np.ndarray:

@@ -197,7 +197,7 @@ def test_blocks_change_nothing(spark):
     v = ann.usable(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
     index = ann.fit(v)
     index = dataclasses.replace(index, probes=len(index.centroids))
-    found = lambda rows, part: {(r.query_id, r["rank"]): r.vec_id for r in ann.search(ann.build(v, index, shard_rows=rows), v.filter("vec_id % 50 = 0"), shard_rows=rows, query_block=part).collect()}
+    found = lambda rows, part: {(r.query_id, r["rank"]): r.vec_id for r in ann.search(ann.build(v, index, shard_rows=rows), v.filter("vec_id % 50 = 0"), query_block=part).collect()}
     whole = found(2048, 1024)
     assert whole == found(37, 3) and len(whole) > 5
     full = ann.unit(x) @ ann.unit(x).T
