@@ -218,7 +218,7 @@ class TextEncoder:
     whole text at once.
     """
 
-    WORDS = 200_000
+    WORDS = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -297,7 +297,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for wide in slices(batches, "text", max(record_bytes, 3 << 20)):
+        for wide in slices(batches, "text", max(record_bytes, 4 << 20)):
             coded = [x + end for x in enc.encode_many(texts(wide, "text"))]
             at = 0
             for batch in slices(iter([wide]), "text", record_bytes):
