@@ -38,7 +38,7 @@ def normalise_env(entries: Mapping[str, str] | list[str]) -> dict[str, str]:
 @dataclasses.dataclass(frozen=True)
 class Options:
     """assume_pure: a Column over subjects, or a function of (package, symbol) asked once for each distinct subject.
-    budget_rounds bounds fixpoints: beyond it an analysis is unavailable, never wrong. single_subject and package_process
+    budget is wall-clock seconds for a transaction's fixpoints: beyond it an analysis is unavailable, never wrong. single_subject and package_process
     attest how the results were produced; both are part of what a memo is scoped by."""
 
     assume_pure: Column | Callable[[str, str], bool] | None = None
@@ -46,7 +46,7 @@ class Options:
     single_subject: bool = False
     package_process: bool = False
     progress: Callable[[str, str], None] | None = None
-    budget_rounds: int = 10_000
+    budget: float | None = None
     build_flags: tuple[str, ...] = ()
     build_inputs: tuple[str, ...] = ()
     env: Mapping[str, str] = dataclasses.field(default_factory=dict)

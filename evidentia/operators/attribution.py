@@ -3,13 +3,14 @@ function. A subject's function values and call sites meet only with each other:
 
 from __future__ import annotations
 
+import dataclasses
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .fixpoint import MAX_ROUNDS, BudgetExhausted, gather, reach
+from .fixpoint import gather, reach, rounds
 
 
 def implements(type_methods: DataFrame, iface_methods: DataFrame) -> DataFrame:
@@ -30,48 +31,127 @@ def subject_bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int"))
 
 
-def analyze(roots: DataFrame, static_edges: DataFrame, address_taken: DataFrame, functions: DataFrame, dyn_sites: DataFrame, invoke_sites: DataFrame, make_iface: DataFrame, type_methods: DataFrame, type_components: DataFrame, iface_methods: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(subject, fn). roots: subject, fn. Each round joins what is new with all that is known, and all with what is new."""
+@dataclasses.dataclass(frozen=True)
+class Attributed:
+    """reachable (subject, fn); targets (subject, site, fn): what each dynamic or interface call site resolves to, under the
+    subjects that reach both the site and the function value or type."""
+
+    reachable: DataFrame
+    targets: DataFrame
+
+    @property
+    def resolved(self) -> DataFrame:
+        """(subject, site) with a target."""
+        return self.targets.select("subject", "site").distinct()
+
+
+def analyze(roots: DataFrame, static_edges: DataFrame, address_taken: DataFrame, functions: DataFrame, dyn_sites: DataFrame, invoke_sites: DataFrame, make_iface: DataFrame, type_methods: DataFrame, type_components: DataFrame, iface_methods: DataFrame, max_rounds: int | None = None, **seeds) -> DataFrame:
+    """(subject, fn) of attributed()."""
+    return attributed(roots, static_edges, address_taken, functions, dyn_sites, invoke_sites, make_iface, type_methods, type_components, iface_methods, max_rounds, **seeds).reachable
+
+
+def attributed(
+    roots: DataFrame, static_edges: DataFrame, address_taken: DataFrame, functions: DataFrame, dyn_sites: DataFrame, invoke_sites: DataFrame, make_iface: DataFrame,
+    type_methods: DataFrame, type_components: DataFrame, iface_methods: DataFrame, max_rounds: int | None = None,
+    seed_values: DataFrame | None = None, seed_types: DataFrame | None = None, reflective: bool = False,
+) -> Attributed:
+    """What each subject reaches. roots: subject, fn. Facts come of reached functions, each once a subject: function values
+    with their signature, signatures called, types made interface values (with all that they are made of), interface calls.
+    A round joins new facts with all, and all with new ones, always by subject; rounds ask for signatures, not sites, so that
+    a common signature costs a row a subject, and sites meet their targets once, at the end.
+
+    seed_values (subject, fn), seed_types (subject, type): candidates established elsewhere; they reach nothing by
+    themselves. reflective: the program can call any function value by reflection."""
     calls = pin(static_edges.select(F.col("caller").alias("fn"), F.col("callee").alias("to")).distinct(), "calls")
-    signature = functions.select("fn", "sig")
-    taken = pin(address_taken.select(F.col("by_fn").alias("fn"), F.col("fn").alias("value")).join(signature.select(F.col("fn").alias("value"), "sig"), "value"), "taken")
-    sites = pin(dyn_sites.select("fn", "sig").distinct(), "sites")
-    whole = reach(type_components.select(F.col("type").alias("src"), F.col("component").alias("dst")), make_iface.select("type", F.col("type").alias("node")).distinct(), ["type"])
-    made = pin(make_iface.join(whole, "type").select("fn", F.col("node").alias("type")).distinct(), "made")
+    signature = functions.select(F.col("fn").alias("value"), "sig")
+    parts = type_components.select(F.col("type").alias("src"), F.col("component").alias("dst"))
+    made_types = make_iface.select("type") if seed_types is None else make_iface.select("type").unionByName(seed_types.select("type"))
+    whole = pin(reach(parts, made_types.select("type", F.col("type").alias("node")).distinct(), ["type"]), "whole")
+    of_function = {
+        "values": address_taken.select(F.col("by_fn").alias("fn"), F.col("fn").alias("value")).join(signature, "value").select("fn", "value", "sig"),
+        "sigs": dyn_sites.select("fn", "sig"),
+        "types": make_iface.join(whole, "type").select("fn", F.col("node").alias("type")),
+        "calls": invoke_sites.select("fn", "iface", "method"),
+    }
+    of_function = {k: pin(v.distinct(), k) for k, v in of_function.items()}
     bridge = pin(implements(type_methods, iface_methods), "implements")
-    invoked = pin(invoke_sites.select("fn", "iface", "method").distinct(), "invoked")
     methods = pin(type_methods.select("type", "method", F.col("impl_fn").alias("to"), "exported").distinct(), "methods")
 
+    def through(calls_: DataFrame, types_: DataFrame) -> DataFrame:
+        return calls_.join(bridge, "iface").join(types_, ["subject", "type"]).join(methods.drop("exported"), ["type", "method"])
+
     delta = pin(roots.select("subject", "fn").distinct(), "reach")
     reached = delta
-    empty = lambda df: df.limit(0)
-    values, open_sites, types, invokes = (empty(delta.join(x, "fn").drop("fn").distinct()) for x in (taken, sites, made, invoked))
-    for n in range(max_rounds):
-        new_values, new_sites, new_types, new_invokes = (pin(delta.join(x, "fn").drop("fn").distinct(), "facts") for x in (taken, sites, made, invoked))
-        all_sites, all_types = gather(open_sites, new_sites, n), gather(types, new_types, n)
-        dynamic = new_values.join(all_sites, ["subject", "sig"]).unionByName(values.join(new_sites, ["subject", "sig"])).select("subject", F.col("value").alias("to"))
-        through = lambda i, t: i.join(bridge, "iface").join(t, ["subject", "type"]).join(methods.drop("exported"), ["type", "method"]).select("subject", "to")
-        dispatched = through(new_invokes, all_types).unionByName(through(invokes, new_types))
-        # what reflection may call: exported methods of types that became interface values
-        exposed = new_types.join(methods.filter("exported"), "type").select("subject", "to")
-        stepped = delta.join(calls, "fn").select("subject", "to")
-        came = reduce(DataFrame.unionByName, [stepped, dynamic, dispatched, exposed]).select("subject", F.col("to").alias("fn")).distinct()
+    columns = {k: ["subject", *[c for c in v.columns if c != "fn"]] for k, v in of_function.items()}
+    known = {k: delta.join(v, "fn").select(*columns[k]).limit(0) for k, v in of_function.items()}
+    seeded = {k: None for k in of_function}
+    if seed_values is not None:
+        seeded["values"] = seed_values.select("subject", F.col("fn").alias("value")).join(signature, "value").select(*columns["values"])
+    if seed_types is not None:
+        seeded["types"] = seed_types.join(whole, "type").select("subject", F.col("node").alias("type")).select(*columns["types"])
+    for n in rounds("attributed", max_rounds):
+        new = {}
+        for k, v in of_function.items():
+            came = delta.join(v, "fn").select(*columns[k])
+            came = came if n or seeded[k] is None else came.unionByName(seeded[k])
+            new[k] = pin(came.distinct().join(known[k], columns[k], "left_anti"), k)
+        both = {k: gather(known[k], new[k], n) for k in new}
+        ways = [
+            delta.join(calls, "fn").select("subject", "to"),
+            new["values"].join(both["sigs"], ["subject", "sig"]).select("subject", F.col("value").alias("to")),
+            known["values"].join(new["sigs"], ["subject", "sig"]).select("subject", F.col("value").alias("to")),
+            through(new["calls"], both["types"]).select("subject", "to"),
+            through(known["calls"], new["types"]).select("subject", "to"),
+            # what reflection may call: exported methods of types that became interface values
+            new["types"].join(methods.filter("exported"), "type").select("subject", "to"),
+        ]
+        if reflective:
+            ways.append(new["values"].select("subject", F.col("value").alias("to")))
+        came = reduce(DataFrame.unionByName, ways).select("subject", F.col("to").alias("fn")).distinct()
         delta = pin(came.join(reached, ["subject", "fn"], "left_anti"), "reach")
+        known = both
         if delta.isEmpty():
-            return reached
+            break
         reached = gather(reached, delta, n)
-        values, open_sites, types, invokes = gather(values, new_values, n), all_sites, all_types, gather(invokes, new_invokes, n)
-    raise BudgetExhausted("analyze")
-
-
-def provenance(reached: DataFrame, roots: DataFrame, static_edges: DataFrame, cut: DataFrame | None = None) -> DataFrame:
-    """(subject, fn, provenance): which of a subject's kinds of root leads to each function; a function in cut (fn) is
-    reached but not passed through."""
-    edges = static_edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    at = lambda sites: reached.join(sites, "fn").drop("fn").distinct()
+    dynamic = at(dyn_sites.select("fn", "site", "sig")).join(known["values"], ["subject", "sig"]).select("subject", "site", F.col("value").alias("fn"))
+    dispatched = through(at(invoke_sites.select("fn", "site", "iface", "method")), known["types"]).select("subject", "site", F.col("to").alias("fn"))
+    return Attributed(reached, pin(dynamic.unionByName(dispatched).distinct(), "targets"))
+
+
+def provenance(reached: DataFrame, roots: DataFrame, static_edges: DataFrame, cut: DataFrame | None = None, targets: DataFrame | None = None, sites: DataFrame | None = None, functions: DataFrame | None = None) -> DataFrame:
+    """(subject, fn, provenance): which of a subject's kinds of root leads to each function, by static calls and by the targets
+    (subject, site, fn) that attributed() resolved for the subject at its sites (site, fn: the function around it).
+
+    functions (fn, harness, user, std, runner): a frame of the test harness is passed through but is not in the result; from
+    it only harness functions are called, and of targets those that are harness, user code or not standard; a call from
+    outside into the harness goes there alone; a test runner is not entered. A function in cut (fn) is reached but not
+    passed through."""
+    here = reached.select("subject", "fn").distinct()
+    flags = {k: F.lit(False) for k in ("harness", "user", "std", "runner")}
+    if functions is not None:
+        kinds = functions.select("fn", *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in flags]).distinct()
+    else:
+        kinds = here.select("fn").distinct().select("fn", *[v.alias(k) for k, v in flags.items()])
+    of = lambda side, *names: kinds.select(F.col("fn").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in names])
+    steps = here.join(static_edges.select(F.col("caller").alias("fn"), F.col("callee").alias("dst")).distinct(), "fn").withColumnRenamed("fn", "src").withColumn("open", F.lit(False))
+    if targets is not None:
+        by_site = sites.select("site", F.col("fn").alias("src")).distinct()
+        entered = static_edges.select("site", F.col("callee").alias("callee")).join(of("callee", "harness").filter("callee_harness"), "callee").select("site").distinct()
+        found = targets.select("subject", "site", F.col("fn").alias("dst")).join(by_site, "site").join(of("src", "harness"), "src", "left")
+        # a site that calls the harness from outside goes nowhere else
+        found = found.join(entered.withColumn("into", F.lit(True)), "site", "left").filter("into is null or coalesce(src_harness, false)")
+        steps = steps.unionByName(found.select("subject", "src", "dst").withColumn("open", F.lit(True)))
+    steps = steps.join(of("src", "harness"), "src", "left").join(of("dst", "harness", "user", "std", "runner"), "dst", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    go = ~yes("src_harness") | yes("dst_harness") | (F.col("open") & (yes("dst_user") | ~yes("dst_std")))
+    steps = steps.filter(go & ~yes("dst_runner")).select("subject", "src", "dst").distinct()
+    steps = steps.join(here.withColumnRenamed("fn", "dst"), ["subject", "dst"], "left_semi")
     if cut is not None:
-        edges = edges.join(cut.select(F.col("fn").alias("src")), "src", "left_anti")
-    walked = reach(edges, roots.select("subject", F.col("kind").alias("provenance"), F.col("fn").alias("node")), ["subject", "provenance"])
-    return walked.withColumnRenamed("node", "fn").join(reached, ["subject", "fn"], "left_semi")
+        steps = steps.join(cut.select(F.col("fn").alias("src")), "src", "left_anti")
+    begun = roots.select("subject", F.col("kind").alias("provenance"), F.col("fn").alias("node")).join(here.withColumnRenamed("fn", "node"), ["subject", "node"], "left_semi")
+    walked = reach(steps, begun, ["subject", "provenance"], edge_keys=["subject"]).withColumnRenamed("node", "fn")
+    return walked.join(kinds.filter("harness").select("fn"), "fn", "left_anti").select("subject", "fn", "provenance")
 
 
 def rooted_package(rooted: DataFrame, complete: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:

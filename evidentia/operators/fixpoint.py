@@ -3,12 +3,16 @@ grows with the number of rounds and a lost executor loses nothing. Nothing is ga
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
 
-MAX_ROUNDS = 10_000
 #: Edges up to which a round joins by broadcast; counted once, before the loop.
 BROADCAST_EDGES = 200_000
 
@@ -23,7 +27,32 @@ def gather(so_far: DataFrame, new: DataFrame, n: int) -> DataFrame:
 
 
 class BudgetExhausted(RuntimeError):
-    """The rounds allowed were not enough; the result is unavailable, not wrong."""
+    """The rounds or the time allowed were not enough; the result is unavailable, not wrong."""
+
+
+_DEADLINE: ContextVar[float | None] = ContextVar("deadline", default=None)
+
+
+@contextmanager
+def budget(seconds: float | None) -> Iterator[None]:
+    """Fixpoints within the block end by that time on the wall clock, or raise BudgetExhausted. None: no bound."""
+    token = _DEADLINE.set(None if seconds is None else time.monotonic() + seconds)
+    try:
+        yield
+    finally:
+        _DEADLINE.reset(token)
+
+
+def rounds(what: str, most: int | None = None) -> Iterator[int]:
+    """0, 1, 2, ... as far as the budget goes."""
+    n = 0
+    while most is None or n < most:
+        deadline = _DEADLINE.get()
+        if deadline is not None and time.monotonic() > deadline:
+            break
+        yield n
+        n += 1
+    raise BudgetExhausted(what)
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -31,54 +60,59 @@ def _edges(edges: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else kept
 
 
-def reach(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """edges (src, dst), seeds (keys..., node) -> (keys..., node): everything reachable from each key's seeds, seeds too."""
-    keys = keys or []
+def reach(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max_rounds: int | None = None, edge_keys: list[str] | None = None) -> DataFrame:
+    """edges (edge_keys..., src, dst), seeds (keys..., node) -> (keys..., node): everything reachable from each key's seeds,
+    seeds too. edge_keys: those keys that an edge is bound to; other keys pass every edge."""
+    keys, edge_keys = keys or [], edge_keys or []
     columns = [*keys, "node"]
-    step = _edges(edges.select("src", "dst"))
+    step = _edges(edges.select(*edge_keys, F.col("src").alias("node"), "dst"))
     delta = pin(seeds.select(*columns).distinct(), "delta")
     reached = delta
-    for n in range(max_rounds):
-        new = delta.join(step, delta["node"] == step["src"]).select(*keys, F.col("dst").alias("node")).distinct()
+    for n in rounds("reach", max_rounds):
+        new = delta.join(step, [*edge_keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
         delta = pin(new.join(reached, columns, "left_anti"), "delta")
         if delta.isEmpty():
             return reached
         reached = gather(reached, delta, n)
-    raise BudgetExhausted("reach")
 
 
-def reach_masks(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach_masks(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """As reach(), for at most 64 keys as bits: seeds (node, mask) -> (node, mask). A round passes on the bits that are new."""
     step = _edges(edges.select("src", "dst"))
     total = pin(seeds.groupBy("node").agg(F.bit_or("mask").alias("mask")), "masks")
     delta = total
-    for _ in range(max_rounds):
+    for _ in rounds("reach_masks", max_rounds):
         came = delta.join(step, delta["node"] == step["src"]).groupBy(F.col("dst").alias("node")).agg(F.bit_or("mask").alias("add"))
         fresh = came.join(total, "node", "left").select("node", F.col("add").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("bigint")))).alias("mask")).filter("mask <> 0")
         delta = pin(fresh, "delta")
         if delta.isEmpty():
             return total
         total = pin(total.unionByName(delta).groupBy("node").agg(F.bit_or("mask").alias("mask")), "masks")
-    raise BudgetExhausted("reach_masks")
 
 
-def least_proof(axioms: DataFrame, deps: DataFrame, owners: DataFrame | None = None, also: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def least_proof(axioms: DataFrame, deps: DataFrame, owners: DataFrame | None = None, also: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(node) proven: an axiom, or an owner all of whose dependencies are proven. Cycles and what is not there refuse.
     deps (own, dep); owners: those that may be proven (default: all that own a dependency; one listed without any proves at
-    once); also: nodes that satisfy a dependency without being proven themselves."""
+    once); also: nodes that satisfy a dependency without being proven themselves.
+
+    Each owner's open dependencies are counted once; a round takes from the counts what the last round proved, and asks
+    nothing of dependencies that it did not touch."""
     deps = pin(deps.select("own", "dep").distinct(), "deps")
     who = (owners.select(F.col("node")) if owners is not None else deps.select(F.col("own").alias("node"))).distinct()
-    who = pin(who, "owners")
     proven = pin(axioms.select("node").distinct(), "proven")
-    good = proven if also is None else pin(proven.unionByName(also.select("node")).distinct(), "good")
-    for n in range(max_rounds):
-        open_ = deps.join(good.select(F.col("node").alias("dep")), "dep", "left_anti").select(F.col("own").alias("node"))
-        new = who.join(open_, "node", "left_anti").join(good, "node", "left_anti")
-        delta = pin(new, "delta")
+    good = proven if also is None else proven.unionByName(also.select("node")).distinct()
+    sizes = deps.groupBy(F.col("own").alias("node")).agg(F.count("*").alias("open"))
+    # owners still to be proven, with their open dependencies; null ids never are
+    waiting = pin(who.join(sizes, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")).join(good, "node", "left_anti"), "waiting")
+    delta = pin(good, "good")
+    for n in rounds("least_proof", max_rounds):
+        met = deps.join(delta.select(F.col("node").alias("dep")), "dep").groupBy(F.col("own").alias("node")).agg(F.count("*").alias("met"))
+        left = waiting.join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
+        left = pin(left, "waiting")
+        delta = left.filter("open = 0").select("node")
         if delta.isEmpty():
             return proven
-        proven, good = gather(proven, delta, n), gather(good, delta, n)
-    raise BudgetExhausted("least_proof")
+        proven, waiting = gather(proven, delta, n), left.filter("open > 0")
 
 
 def fallen(breaks: DataFrame, deps: DataFrame, declared: DataFrame) -> DataFrame:
@@ -104,12 +138,12 @@ def init_reach(refs: DataFrame) -> DataFrame:
     return reach(edges, seeds).join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
 
 
-def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """edges (a, b) -> (node, root: the least node of its component). Each round stars every node onto the least root that
     it or a neighbour knows, then onto that one's root: rounds grow with the logarithm of the longest path."""
     both = pin(edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    for _ in rounds("components", max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         hop = labels.join(near, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("was"))
         jump = hop.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
@@ -117,4 +151,3 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         labels = new.select("node", "root")
         if new.filter("root <> was").isEmpty():
             return labels
-    raise BudgetExhausted("components")
