@@ -171,9 +171,9 @@ _LATIN = [chr(c) for c in range(33, 0x250) if chr(c) not in "'\x7f" and not chr(
 _LETTERS = "".join(c for c in _LATIN if c.isalpha())
 _NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _OTHERS = "".join(c for c in _LATIN if c not in _LETTERS and c not in _NUMBERS)
-#: A chunk of such characters, where single newlines may stand between others, and its pre-tokens. No apostrophes.
-_PLAIN = re.compile(f"[{re.escape(''.join(_LATIN))}]+(?:\n[{re.escape(''.join(_LATIN))}]+)*")
-_CUT = re.compile(f" ?[{_LETTERS}]+| ?[{re.escape(_NUMBERS)}]+| ?[{re.escape(_OTHERS)}]+|\n")
+#: A chunk of such characters, where single newlines may stand between others, and a pre-token of one. No apostrophes.
+_PLAIN = f"[{re.escape(''.join(_LATIN))}]+(?:\\n[{re.escape(''.join(_LATIN))}]+)*"
+_PIECE = f" ?[{_LETTERS}]+| ?[{re.escape(_NUMBERS)}]+| ?[{re.escape(_OTHERS)}]+|\\n"
 
 
 class _Memo(dict):
@@ -207,15 +207,22 @@ def _byte_level(path: str) -> tuple[bool, list[str]]:
     return bool(rule and merges and whole), [x["content"] for x in spec.get("added_tokens", [])]
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the items of each list named by which, one list after another."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)
+
+
 class TextEncoder:
-    """Ids of whole texts as the library gives them without added special tokens, as bytes.
+    """Ids of whole texts as the library gives them without added special tokens.
 
     With a byte-level tokenizer of the rule that _byte_level() checks, a token never spans a lone space that follows and
     precedes other than white space, and what is left of it has no say in what is right of it; so a text's ids are those
-    of its chunks, one after another. Each distinct chunk of a batch is looked up once. A plain chunk is cut into its
-    pre-tokens here, which go straight to the library's merge model, once while they are held; any other chunk is encoded
-    whole. Where the tokenizer is not of that kind, or a text holds the string of an added token, the library encodes the
-    whole text at once.
+    of its chunks, one after another. A batch's distinct chunks are found first; plain ones are cut into their pre-tokens,
+    and the distinct ones of these go straight to the library's merge model, once while they are held; any other chunk is
+    encoded whole. Where the tokenizer is not of that kind, or a text holds the string of an added token, the library
+    encodes the whole text at once.
     """
 
     WORDS = 300_000
@@ -230,25 +237,71 @@ class TextEncoder:
         self.words = _Memo(self._word, self.WORDS)
 
     def __call__(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_many([text])[0].tobytes()
 
-    def encode_many(self, batch: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [b"" if not x else self._whole(x) if not self.cuts or (self.added and self.added.search(x)) else None for x in batch]
-        rows = [i for i, x in enumerate(out) if x is None]
+    def encode_many(self, batch: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another and each followed by end_id if there is one, and each text's number of them."""
+        alone: dict[int, bytes] = {i: self._whole(x) for i, x in enumerate(batch) if x and (not self.cuts or (self.added and self.added.search(x)))}
+        rows = [i for i, x in enumerate(batch) if x and i not in alone]
         cut = pc.split_pattern(pa.array([batch[i] for i in rows], pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
-        words, chunk = self.words, self._chunk
-        value = [words[" " + x] if x.isalpha() and x.isascii() else chunk(x) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        each = list(map(value.__getitem__, coded.indices.to_numpy().tolist()))
-        ends = cut.offsets.to_pylist()
-        for i, a, b in zip(rows, ends, ends[1:]):
-            head = batch[i][: batch[i].find(" ")] if b - a > 1 else batch[i]
-            own = each[a + 1 : b]
-            if not head or head[-1].isspace() or None in own:
-                out[i] = self._careful(batch[i])
-            else:
-                out[i] = self._ids(head, "") + b"".join(own)
-        return out
+        chunks, code, ends = coded.dictionary, coded.indices.to_numpy(), cut.offsets.to_numpy()
+        plain = pc.match_substring_regex(chunks, f"^(?:{_PLAIN})$").to_numpy(zero_copy_only=False).astype(bool)
+        # lists of pieces by chunk: of a plain chunk its pre-tokens behind a space, of any other one piece, the whole
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), chunks.filter(pa.array(plain)), pa.scalar("", pa.large_string()))
+        marked = pc.replace_substring_regex(spaced, _PIECE, "\\0\x01")
+        parts = pc.split_pattern(pc.utf8_slice_codeunits(marked, 0, -1), "\x01")
+        pieces = parts.values.dictionary_encode()
+        ids = [self.words[x] for x in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        bad = np.zeros(len(chunks), bool)
+        first, size = np.zeros(len(chunks), np.int64), np.ones(len(chunks), np.int64)
+        spread = parts.offsets.to_numpy()
+        first[plain], size[plain] = spread[:-1], np.diff(spread)
+        extra: list[int] = []
+
+        def piece(value: bytes) -> int:
+            """Where a list of one more piece begins."""
+            ids.append(value)
+            extra.append(len(ids) - 1)
+            return len(parts.values) + len(extra) - 1
+
+        for k in np.nonzero(~plain)[0].tolist():
+            x = chunks[k].as_py()
+            bad[k] = not x or x[0].isspace() or x[-1].isspace()
+            first[k] = piece(b"" if bad[k] else self._whole(" " + x))
+        # the first chunk has no space before it; texts with lists of their own are lists of one piece, the end is one
+        lists, sizes = [first], [size]
+        head = np.zeros(len(rows), np.int64)
+        careful = np.zeros(len(rows), bool)
+        tail = np.add.reduceat(np.append(bad[code], False), ends[:-1]) - bad[code[ends[:-1]]] if len(rows) else np.zeros(0)
+        for j, i in enumerate(rows):
+            x = batch[i][: batch[i].find(" ")] if ends[j + 1] - ends[j] > 1 else batch[i]
+            careful[j] = tail[j] > 0 or not x or x[-1].isspace()
+            head[j] = piece(self._careful(batch[i]) if careful[j] else self._ids(x, ""))
+        own = {i: piece(x) for i, x in alone.items()}
+        end = piece(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
+        # every text as places in lists: its first, its other chunks, its end
+        n_chunks = np.zeros(len(batch), np.int64)
+        n_chunks[rows] = np.where(careful, 1, np.diff(ends))
+        n_chunks[list(own)] = 1
+        stop = np.cumsum(n_chunks + 1)
+        start = stop - n_chunks - 1
+        of_list = np.full(int(stop[-1]) if len(stop) else 0, len(chunks), np.int64)
+        at = np.array(rows, np.int64)
+        inner = _ragged(start[at] + 1, np.maximum(n_chunks[at] - 1, 0), np.arange(len(at)))
+        of_list[inner] = code[_ragged(ends[:-1] + 1, np.maximum(n_chunks[at] - 1, 0), np.arange(len(at)))]
+        single = np.concatenate([[end], head, np.array(list(own.values()), np.int64)])
+        of_list[start[at]] = len(chunks) + 1 + np.arange(len(at))
+        of_list[start[np.array(list(own), np.int64)]] = len(chunks) + 1 + len(at) + np.arange(len(own))
+        lists, sizes = np.concatenate([*lists, single]), np.concatenate([*sizes, np.ones(len(single), np.int64)])
+        of_piece = np.concatenate([pieces.indices.to_numpy(), np.array(extra, np.int64)]).astype(np.int64)
+        lengths = np.array([len(x) for x in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        met = of_piece[_ragged(lists, sizes, of_list)]
+        so_far = np.concatenate([[0], np.cumsum(lengths[of_piece])])
+        per_list = so_far[lists + sizes] - so_far[lists]
+        counts = np.add.reduceat(per_list[of_list], start) if len(start) else np.zeros(0, np.int64)
+        return flat[_ragged(np.cumsum(lengths) - lengths, lengths, met)], counts
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -261,15 +314,10 @@ class TextEncoder:
             piece = _ALPHABET[ord(piece[0])] + piece[1:]
         return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk behind a space; None where it begins or ends with white space, or is empty, so that its text is to
-        be cut with more care."""
-        return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._ids(chunk, " ")
-
     def _ids(self, chunk: str, lead: str) -> bytes:
         """Ids of a chunk behind `lead`, a space or nothing."""
-        if _PLAIN.fullmatch(chunk):
-            return b"".join(map(self.words.__getitem__, _CUT.findall(lead + chunk)))
+        if re.fullmatch(_PLAIN, chunk):
+            return b"".join(map(self.words.__getitem__, re.findall(_PIECE, lead + chunk)))
         return self._whole(lead + chunk)
 
     def _careful(self, text: str) -> bytes:
@@ -296,16 +344,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for wide in slices(batches, "text", max(record_bytes, 4 << 20)):
-            coded = [x + end for x in enc.encode_many(texts(wide, "text"))]
-            at = 0
+            ids, counts = enc.encode_many(texts(wide, "text"), end_id)
+            row = at = 0
             for batch in slices(iter([wide]), "text", record_bytes):
-                own = coded[at : at + batch.num_rows]
-                at += batch.num_rows
-                counts = np.array([len(x) // 4 for x in own], np.int64)
-                ids = np.frombuffer(b"".join(own), "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([record(batch.column(0).to_pylist(), counts, ids)], pa.binary())], ["value"])
+                own = counts[row : row + batch.num_rows]
+                stop = at + int(own.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([record(batch.column(0).to_pylist(), own, ids[at:stop])], pa.binary())], ["value"])
+                row, at = row + batch.num_rows, stop
 
     spread = narrow.repartitionByRange("id").sortWithinPartitions("id")
     raw = spread.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))

@@ -55,6 +55,16 @@ def test_memo_generations():
     assert np.frombuffer(enc(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids and len(enc.words) <= 3
 
 
+def test_batches_of_any_texts(spark, sf):
+    lib, enc = Tokenizer.from_file(BPE), t.TextEncoder(BPE)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    for batch in (ODD, ["", ""], [], texts + ODD, ODD[::-1] + texts[::-1]):
+        for end in (None, 0):
+            ids, counts = enc.encode_many(batch, end)
+            expected = [lib.encode(x, add_special_tokens=False).ids + ([] if end is None else [end]) for x in batch]
+            assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
 def test_added_tokens_are_the_librarys():
     text = "one <|endoftext|>two three <|endoftext|>"
     ids = np.frombuffer(t.TextEncoder(BPE)(text), "<u4").tolist()
