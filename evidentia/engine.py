@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import digest
 from .functions.digest import BUILD_ENV_KEYS, BUILD_OS_KEYS
-from .operators import verdict
+from .operators import bracket, dynstate, verdict
+from .operators.fixpoint import budget
 from .operators.snapshot import Snapshot, capture
 from .session import pin
 from .sources.memo import Memo
@@ -90,6 +92,36 @@ class Engine:
     def memo(self, spark) -> Memo:
         return Memo(spark, self.options.memo_root)
 
+    def remembered(self, wanted: DataFrame, kind: str, key: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """compute(wanted), of which what the memo holds under these options is taken from it; within the budget."""
+        self._tell(kind)
+        with budget(self.options.budget):
+            return self.memo(wanted.sparkSession).split(kind, self.options.scope, wanted, key, compute)
+
+    def build_config(self) -> Column:
+        """Digest of the build's configuration: this engine's environment and opaque build inputs."""
+        return digest.build_config(self._env(self.options.env), F.array(*map(F.lit, self.options.build_inputs)).cast("array<string>"))
+
+    def runtime_config(self) -> Column:
+        """Digest of the run's configuration, from the producer's environment where that is another."""
+        return digest.runtime_config(self._env(self.options.env if self.options.producer_env is None else self.options.producer_env))
+
+    @staticmethod
+    def _env(env: Mapping[str, str]) -> Column:
+        pairs = [F.lit(x) for kv in env.items() for x in kv]
+        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+    def observed(self, rows: DataFrame, path: str = "path") -> DataFrame:
+        """rows without those at or below this engine's exclusions."""
+        if not self.options.exclusions:
+            return rows
+        return bracket.without_excluded(rows, rows.sparkSession.createDataFrame([(x,) for x in self.options.exclusions], "path string"), path)
+
+    def discharges(self, candidates: DataFrame, audited: DataFrame, directives: DataFrame) -> DataFrame:
+        """What this engine's vouches, audited versions and, if it attests how results are produced, directives discharge."""
+        vouches = candidates.sparkSession.createDataFrame([(x,) for x in self.options.vouches], "var_key string")
+        return dynstate.discharges(candidates, vouches, audited, directives, self.options.single_subject or self.options.package_process)
+
     def purity(self, subjects: DataFrame) -> DataFrame:
         """subjects (package, symbol, directive, external, ambiguous) with purity: who calls each of them pure."""
         ask = self.options.assume_pure
@@ -114,23 +146,25 @@ class Engine:
 
     def capture(self, read: Read, subjects: DataFrame, kind: int) -> DataFrame:
         """Recordings of subjects. read gives at least closures (package, symbol, hash, test_variants) and guards (one row)."""
-        view = self.view(read, subjects)
+        with budget(self.options.budget):
+            view = self.view(read, subjects)
         return capture(view.subjects, view.tables["closures"], view.tables["guards"], verdict.STRATEGY, kind)
 
     def check(self, read: Read, recordings: DataFrame, runtime: Callable[[DataFrame], DataFrame], observed: bool = False) -> tuple[DataFrame, DataFrame]:
         """(subject, verdict, provisional) and errors. read gives current (a row a subject); runtime evaluates distinct
         manifests, and is asked twice: what moves in between is stale. With defer_close the last look at the tables is left
         to the caller and verdicts are provisional."""
-        view = self.view(read, recordings.select("subject"))
-        manifests = verdict.distinct_manifests(recordings)
-        self._tell("runtime")
-        opening = pin(runtime(manifests), "opening")
-        verdicts, errors = verdict.check(recordings, view.tables["current"], opening, observed)
-        verdicts = pin(verdicts, "verdicts")
-        self._tell("runtime")
-        closing = runtime(manifests)
-        verdicts = verdict.demote_moved(verdicts, opening, closing, recordings.select("subject", F.col("runtime_inputs").alias("manifest")))
-        verdicts = pin(verdicts, "verdicts")
-        if not self.options.defer_close:
-            view.validate(read)
+        with budget(self.options.budget):
+            view = self.view(read, recordings.select("subject"))
+            manifests = verdict.distinct_manifests(recordings)
+            self._tell("runtime")
+            opening = pin(runtime(manifests), "opening")
+            verdicts, errors = verdict.check(recordings, view.tables["current"], opening, observed)
+            verdicts = pin(verdicts, "verdicts")
+            self._tell("runtime")
+            closing = runtime(manifests)
+            verdicts = verdict.demote_moved(verdicts, opening, closing, recordings.select("subject", F.col("runtime_inputs").alias("manifest")))
+            verdicts = pin(verdicts, "verdicts")
+            if not self.options.defer_close:
+                view.validate(read)
         return verdicts.withColumn("provisional", F.lit(self.options.defer_close)), errors

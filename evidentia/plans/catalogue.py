@@ -3,6 +3,7 @@ the same rows. A table's rows stand in for facts: generations are made of it by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import digest, paths, rules
 from ..operators import attribution, bracket, dynstate, effects, explain, fixpoint, guards, inputs, ledger, manifest, snapshot, verdict
+from ..session import shared_dir
+from ..sources.memo import Memo
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,12 +314,12 @@ def mask_conjunct_join(spark, d):
     return attribution.mask_conjunct(sites, functions)
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS type, o_orderpriority AS method FROM orders), i AS (SELECT DISTINCT c_mktsegment AS iface, o_orderpriority AS method FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 50 = 1),
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS type, o_orderpriority AS method FROM orders), i AS (SELECT DISTINCT c_mktsegment AS iface, o_orderpriority AS method FROM orders JOIN customer ON o_custkey = c_custkey),
 w AS (SELECT iface, count(*) AS n FROM i GROUP BY iface) SELECT type, iface FROM m JOIN i USING (method) JOIN w USING (iface) GROUP BY type, iface, n HAVING count(*) = n""")
 def implements_division(spark, d):
     orders, customer = t(spark, d, "orders"), t(spark, d, "customer")
     methods = orders.select(F.col("o_custkey").alias("type"), F.col("o_orderpriority").alias("method"))
-    ifaces = orders.join(customer.filter("c_custkey % 50 = 1"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("iface"), F.col("o_orderpriority").alias("method"))
+    ifaces = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("iface"), F.col("o_orderpriority").alias("method"))
     return attribution.implements(methods, ifaces)
 
 
@@ -364,33 +367,22 @@ def opacity_falls(spark, d):
     return fixpoint.fallen(owners.filter("node % 211 = 5").join(deps.select(F.col("dep").alias("node")), "node", "left_semi"), deps, declared)
 
 
-_LINKS = "SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_partkey % 23 = 0 AND l_orderkey % 5 = 0"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_LINKS}) UNION SELECT b, a FROM ({_LINKS})), r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
-def carrier_components(spark, d):
-    links = t(spark, d, "lineitem").filter("l_partkey % 23 = 0 and l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
-    return fixpoint.components(links)
-
-
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS own ON own.node = e.b WHERE r.root < own.root GROUP BY e.b)
 SELECT node, root FROM r""")
-def carrier_components_all(spark, d):
+def carrier_components(spark, d):
     """Every link of lineitem, none left out; suppliers are the even nodes, parts the odd ones."""
     links = t(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
     return fixpoint.components(links)
 
 
-@query("""WITH RECURSIVE r AS (SELECT DISTINCT 'f' || (p_partkey % 300) AS callee, CASE WHEN p_partkey % 300 >= 150 AND p_partkey % 7 = 0 THEN 'prog' WHEN p_partkey % 300 < 20 THEN 'init' ELSE 'f' || ((p_partkey % 300) // 2) END AS region FROM part),
+@query("""WITH RECURSIVE r AS (SELECT 'f' || p_partkey AS callee, CASE WHEN p_partkey % 50 = 49 THEN 'prog' WHEN p_partkey < 20 THEN 'init' ELSE 'f' || (p_partkey // 2) END AS region FROM part),
 bad(node) AS (SELECT callee FROM r WHERE region = 'prog' UNION SELECT callee FROM bad JOIN r ON region = node) SELECT DISTINCT callee AS node FROM r WHERE callee NOT IN (SELECT node FROM bad)""")
 def init_only_forall(spark, d):
-    k = F.col("p_partkey") % 300
+    k = F.col("p_partkey")
     name = lambda n: F.concat(F.lit("f"), n.cast("string"))
-    region = F.when((k >= 150) & (F.col("p_partkey") % 7 == 0), "prog").when(k < 20, "init").otherwise(name(F.floor(k / 2)))
-    refs = t(spark, d, "part").select(name(k).alias("callee"), region.alias("region")).distinct()
-    return fixpoint.init_only(refs)
+    region = F.when(k % 50 == 49, "prog").when(k < 20, "init").otherwise(name(F.floor(k / 2)))
+    return fixpoint.init_only(t(spark, d, "part").select(name(k).alias("callee"), region.alias("region")).distinct())
 
 
 @query("""WITH p AS (SELECT DISTINCT n_regionkey AS root, 'm' || s_nationkey || '@v' || (s_nationkey % 4) AS pin, s_nationkey % 11 = 3 AS local FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -463,9 +455,10 @@ def memo_hit_split(spark, d):
     rows = t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     compute = lambda df: df.select("h", digest.short(F.col("h")).alias("result"))
     wanted, remembered = rows.select("h").distinct(), compute(rows.filter("doc_id % 4 = 0").select("h").distinct())
-    hits = wanted.join(remembered, "h").withColumn("hit", F.lit(True))
-    rest = compute(wanted.join(remembered, "h", "left_anti")).withColumn("hit", F.lit(False))
-    return hits.unionByName(rest).select("h", "hit", "result")
+    memo = Memo(spark, f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}")
+    memo.store("texts", "all", remembered)
+    found = memo.split("texts", "all", wanted, ["h"], compute)
+    return found.join(remembered.select("h", F.lit(True).alias("hit")), "h", "left").select("h", F.coalesce("hit", F.lit(False)).alias("hit"), "result")
 
 
 @query("""SELECT * FROM (SELECT o_orderkey, 0 AS side FROM orders WHERE o_orderkey % 1000 = 7 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 1000 = 7)""")
@@ -473,7 +466,8 @@ def snapshot_agreement(spark, d):
     """Two observations that agree but for one order in a thousand: each such row from either side."""
     once = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     again = once.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 1000 == 7, "?").otherwise(F.col("o_orderstatus")))
-    return snapshot.differences(once, again).select("o_orderkey", "side")
+    view = snapshot.Snapshot.observe(lambda: {"orders": once}, once.select("o_orderkey"))
+    return snapshot.differences(view.tables["orders"], again).select("o_orderkey", "side")
 
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 31 = 0 THEN 'subject' WHEN o_orderkey % 7 = 0 THEN 'o_orderstatus' ELSE 'o_orderpriority' END AS field FROM orders WHERE o_orderkey % 31 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0""")
@@ -487,4 +481,4 @@ def drift_first_field(spark, d):
 def sibling_subset(spark, d):
     snap = snapshot.Snapshot({}, t(spark, d, "customer").select("c_custkey", "c_name"))
     some = t(spark, d, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return snap.subjects.join(some, "c_custkey", "left_semi")
+    return snap.sibling(snap.subjects.join(some, "c_custkey").select("c_custkey", "c_name")).subjects

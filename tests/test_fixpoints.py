@@ -83,7 +83,12 @@ def test_components(spark):
 
 def graph(spark, **tables):
     ddl = {"roots": "subject string, fn string", "static_edges": "caller string, site string, callee string", "address_taken": "fn string, by_fn string", "functions": "fn string, sig string", "dyn_sites": "site string, fn string, sig string", "invoke_sites": "site string, fn string, iface string, method string", "make_iface": "fn string, type string", "type_methods": "type string, method string, impl_fn string, exported boolean", "type_components": "type string, component string", "iface_methods": "iface string, method string"}
-    return {(r.subject, r.fn) for r in attribution.analyze(**{k: spark.createDataFrame(tables.get(k, []), v) for k, v in ddl.items()}).collect()}
+    seeds = {"seed_values": "subject string, fn string", "seed_types": "subject string, type string"}
+    given = {k: spark.createDataFrame(tables.get(k, []), v) for k, v in ddl.items()} | {k: spark.createDataFrame(tables[k], v) for k, v in seeds.items() if k in tables}
+    found = attribution.attributed(**given, reflective=tables.get("reflective", False))
+    if tables.get("targets"):
+        return {(r.subject, r.site, r.fn) for r in found.targets.collect()}
+    return {(r.subject, r.fn) for r in found.reachable.collect()}
 
 
 def test_function_values_and_sites_of_different_subjects_do_not_meet(spark):
@@ -91,6 +96,47 @@ def test_function_values_and_sites_of_different_subjects_do_not_meet(spark):
     assert found == {("A", "a"), ("B", "b"), ("C", "a"), ("C", "b"), ("C", "v")}
 
 
+def test_targets_are_kept_by_subject_and_site(spark):
+    facts = {
+        "roots": [("A", "a"), ("B", "b")], "static_edges": [("a", "1", "h"), ("b", "2", "h")], "functions": [("v", "f"), ("w", "f"), ("x", "g")],
+        "address_taken": [("v", "a"), ("w", "b"), ("x", "a")], "dyn_sites": [("s", "h", "f"), ("t", "nowhere", "f")], "invoke_sites": [("i", "h", "I", "Do")],
+        "make_iface": [("b", "T")], "type_methods": [("T", "Do", "T.Do", False)], "iface_methods": [("I", "Do")],
+    }
+    assert graph(spark, **facts, targets=True) == {("A", "s", "v"), ("B", "s", "w"), ("B", "i", "T.Do")}
+    assert graph(spark, **facts) == {("A", "a"), ("A", "h"), ("A", "v"), ("B", "b"), ("B", "h"), ("B", "w"), ("B", "T.Do")}
+    # a program that calls by reflection can call every function value
+    assert ("A", "x") in graph(spark, **facts, reflective=True)
+
+
+def test_seeds_reach_nothing_by_themselves(spark):
+    facts = {"roots": [("A", "a"), ("B", "b")], "functions": [("v", "f"), ("u", "g")], "dyn_sites": [("s", "a", "f")], "invoke_sites": [("i", "a", "I", "Do")], "type_methods": [("T", "Do", "T.Do", False), ("E", "Do", "E.Do", False)], "type_components": [("T", "E")], "iface_methods": [("I", "Do")]}
+    assert graph(spark, **facts) == {("A", "a"), ("B", "b")}
+    seeded = facts | {"seed_values": [("A", "v"), ("A", "u"), ("B", "v")], "seed_types": [("A", "T"), ("B", "T")]}
+    assert graph(spark, **seeded) == {("A", "a"), ("A", "v"), ("A", "T.Do"), ("A", "E.Do"), ("B", "b")}
+
+
+def test_provenance_passes_through_targets_and_the_harness(spark):
+    roots = spark.createDataFrame([("A", "init", "startup"), ("A", "Test", "subject")], "subject string, fn string, kind string")
+    reached = spark.createDataFrame([("A", x) for x in ("init", "Test", "Run", "callback", "inner", "fmt.p", "v", "M.Run", "after")], "subject string, fn string")
+    edges = spark.createDataFrame([("Test", "1", "Run"), ("Run", "2", "inner"), ("Run", "3", "fmt.p"), ("init", "4", "M.Run"), ("M.Run", "5", "after")], "caller string, site string, callee string")
+    targets = spark.createDataFrame([("A", "6", "callback"), ("A", "6", "fmt.p"), ("A", "7", "v"), ("B", "7", "after")], "subject string, site string, fn string")
+    sites = spark.createDataFrame([("6", "Run"), ("7", "init")], "site string, fn string")
+    kinds = [("Test", False, True, False, False), ("Run", True, False, True, False), ("inner", True, False, True, False), ("callback", False, True, False, False), ("fmt.p", False, False, True, False), ("M.Run", True, False, True, True)]
+    functions = spark.createDataFrame(kinds, "fn string, harness boolean, user boolean, std boolean, runner boolean")
+    got = {(r.fn, r.provenance) for r in attribution.provenance(reached, roots, edges, targets=targets, sites=sites, functions=functions).collect()}
+    # the harness itself is left out, its callback is not, its own standard calls are; a runner is not entered
+    assert got == {("init", "startup"), ("v", "startup"), ("Test", "subject"), ("callback", "subject")}
+
+
+def test_a_budget_in_time(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)], "src int, dst int")
+    seed = spark.createDataFrame([(0,)], "node int")
+    with fixpoint.budget(0), pytest.raises(fixpoint.BudgetExhausted):
+        fixpoint.reach(e, seed)
+    with fixpoint.budget(600):
+        assert fixpoint.reach(e, seed).count() == 7
+
+
 def test_interfaces_dispatch_by_methods(spark):
     found = graph(
         spark, roots=[("A", "main")], static_edges=[("main", "1", "use")], make_iface=[("main", "T"), ("main", "U")], invoke_sites=[("2", "use", "I", "Do")],

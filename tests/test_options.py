@@ -52,3 +52,31 @@ def test_transactions(spark):
     assert phases == ["observe", "observe", "runtime", "runtime"]
     facts = spark.createDataFrame([("p", "A", "pure", False, ""), ("p", "B", "pure", False, ""), ("p", "C", "", True, ""), ("p", "A2", None, False, "")], "package string, symbol string, directive string, external boolean, ambiguous string")
     assert {r.symbol: r.purity for r in engine.purity(facts).collect()} == {"A": "caller assertion and source directive", "B": "source directive", "C": "", "A2": ""}
+
+
+def test_options_reach_the_operators(spark, tmp_path):
+    from evidentia.operators.fixpoint import BudgetExhausted, reach
+
+    e = Engine(Options(vouches=("v1",), single_subject=True, exclusions=("/a/b",), env={"CC": "cc", "GOGC": "1"}, producer_env={"CC": "cc", "GOGC": "2"}, build_inputs=("x",), memo_root=f"file://{tmp_path}", budget=0))
+    paths = spark.createDataFrame([("/a/b",), ("/a/b/c",), ("/a/bc",)], "path string")
+    assert [r.path for r in e.observed(paths).collect()] == ["/a/bc"] and Engine().observed(paths).count() == 3
+    candidates = spark.createDataFrame([("p", "pinned", "m", "v1", "escape"), ("p", "pinned", "m", "v2", "escape"), ("q", "mutable_local", None, "v3", "escape")], "pkg string, package_class string, pin string, var_key string, class string")
+    none, said = spark.createDataFrame([], "pin string, var_key string"), spark.createDataFrame([("v3",)], "var_key string")
+    assert {(r.var_key, r.channel) for r in e.discharges(candidates, none, said).collect()} == {("v1", "vouch"), ("v3", "directive")}
+    assert Engine().discharges(candidates, none, said).count() == 0
+    frame = lambda **env: spark.range(1).select(Engine(Options(**env)).build_config().alias("b"), Engine(Options(**env)).runtime_config().alias("r")).first()
+    one, two = frame(env={"CC": "cc"}), frame(env={"CC": "gcc"})
+    assert one.b != two.b and one.r == two.r and frame(env={"GOGC": "1"}).r != frame(env={"GOGC": "1"}, producer_env={"GOGC": "2"}).r != frame().r
+    asked = []
+
+    def compute(rows):
+        asked.append(sorted(r.k for r in rows.collect()))
+        return rows.withColumn("v", rows.k * 2)
+
+    keep = Engine(Options(memo_root=f"file://{tmp_path}/memo"))
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
+    assert {(r.k, r.v) for r in keep.remembered(rows(1, 2), "double", ["k"], compute).collect()} == {(1, 2), (2, 4)}
+    assert {(r.k, r.v) for r in keep.remembered(rows(2, 3), "double", ["k"], compute).collect()} == {(2, 4), (3, 6)} and asked == [[1, 2], [3]]
+    edges = spark.createDataFrame([(1, 2)], "src int, dst int")
+    with pytest.raises(BudgetExhausted):
+        e.remembered(rows(1), "reach", ["node"], lambda r: reach(edges, r.withColumnRenamed("k", "node")))
