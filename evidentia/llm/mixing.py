@@ -38,10 +38,13 @@ def tokens(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def with_tree(docs: DataFrame) -> DataFrame:
-    """docs with the tree's keys: a source's domain follows from its name's length here."""
+def with_tree(docs: DataFrame, domain: Column | None = None) -> DataFrame:
+    """docs with the tree's keys. domain: which domain a row belongs to, over its columns; by default the given tables'
+    rule, by the length of the source's name."""
     source = F.coalesce(F.col("source"), F.lit("none"))
-    return docs.withColumns({"source": source, "lang": F.coalesce("lang", F.lit("none")), "domain": F.concat(F.lit("d"), (F.length(source) % 3).cast("string"))})
+    if domain is None:
+        domain = F.concat(F.lit("d"), (F.length(source) % 3).cast("string"))
+    return docs.withColumns({"domain": F.coalesce(domain, F.lit("none")), "source": source, "lang": F.coalesce("lang", F.lit("none"))})
 
 
 def _weight(level: str, weights: dict) -> Column:
@@ -96,7 +99,8 @@ def plan(docs: DataFrame, share: tuple[int, int] = (3, 5), weights: dict | None
     sums = materialise(sums, "buckets")
     whole = sums.filter("before + sum <= rest").select(*LEVELS, F.col("top").alias("h"))
     ends = sums.filter("before <= rest and before + sum > rest").select(*LEVELS, "bucket", "before")
-    inner = rows.join(ends, [*LEVELS, "bucket"])
+    # rows of one hash (null ids have one) are taken or left together: one row each before the window
+    inner = rows.join(ends, [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "before", "rest", "h").agg(F.sum("n_tokens").alias("n_tokens"))
     running = F.sum("n_tokens").over(W.partitionBy(*LEVELS, "bucket").orderBy("h").rangeBetween(W.unboundedPreceding, W.currentRow))
     part = inner.withColumn("run", F.col("before") + running).filter("run <= rest").select(*LEVELS, "h")
     cut = whole.unionByName(part).groupBy(*LEVELS).agg(F.max("h").alias("cut"))
