@@ -11,7 +11,7 @@ all labelled rows that may be learned from); only their statistics reach the dri
 all those rows.
 
 Edge cases: a null text counts as empty; an empty text has the statistics of zero bytes and words and a score as any other;
-null labels or ids are not learned from, a null id counts as held out; with fewer than two classes to learn from every
+a document with two labels counts for both; null labels or ids are not learned from, a null id counts as held out; with fewer than two classes to learn from every
 score is 1 if the class is 1 or there is none, else 0; repeated rows score alike; input columns named as outputs are
 replaced.
 """
@@ -70,7 +70,7 @@ def statistics(texts: list[str]) -> np.ndarray:
 @dataclasses.dataclass
 class Qda:
     mean: np.ndarray  # classes x features
-    inverse: np.ndarray  # classes x features x features: inverses of the cached Cholesky factors
+    factor: np.ndarray  # classes x features x features: cached Cholesky factors of the shrunk covariances
     log_det: np.ndarray
     log_prior: np.ndarray
     only: float | None = None
@@ -80,8 +80,8 @@ class Qda:
             return np.full(len(x), self.only)
         density = []
         for c in (0, 1):
-            y = (x - self.mean[c]) @ self.inverse[c].T
-            density.append(self.log_prior[c] - self.log_det[c] - 0.5 * (y * y).sum(1))
+            y = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)  # its squares sum to the Mahalanobis distance
+            density.append(self.log_prior[c] - self.log_det[c] - 0.5 * (y * y).sum(0))
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
@@ -94,7 +94,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, to_pooled: float = 0.3,
     pooled = sum(len(g) * c for g, c in zip(groups, cov)) / len(x)
     ridge = max(np.trace(pooled) / x.shape[1], 1e-6) * np.eye(x.shape[1])
     factor = [np.linalg.cholesky((1 - to_pooled - to_identity) * c + to_pooled * pooled + to_identity * ridge) for c in cov]
-    return Qda(mean, np.array([np.linalg.inv(f) for f in factor]), np.array([np.log(np.diag(f)).sum() for f in factor]), np.log(prior / prior.sum()))
+    return Qda(mean, np.array(factor), np.array([np.log(np.diag(f)).sum() for f in factor]), np.log(prior / prior.sum()))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -129,13 +129,35 @@ def test_discriminant_is_the_gaussian_one():
     for p in x[:5]:
         logs = []
         for c in (0, 1):
-            cov = m.inverse[c]
-            sigma = np.linalg.inv(cov.T @ cov)
+            sigma = m.factor[c] @ m.factor[c].T
             d = p - m.mean[c]
             logs.append(np.log([0.25, 0.75][c]) - 0.5 * np.linalg.slogdet(sigma)[1] - 0.5 * d @ np.linalg.solve(sigma, d))
         assert m.score(p[None])[0] == pytest.approx(1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def test_quality_query_against_each_text_by_itself(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    m = q.train(docs, labels)
+    got = {r.doc_id: r for r in q.op9_quality_qda(spark, sf).collect()}
+    for d in docs.collect():
+        p = q.statistics([d.text])[0]
+        logs = []
+        for c in (0, 1):
+            sigma, off = m.factor[c] @ m.factor[c].T, p - m.mean[c]
+            logs.append(m.log_prior[c] - 0.5 * np.linalg.slogdet(sigma)[1] - 0.5 * off @ np.linalg.solve(sigma, off))
+        expected = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+        assert got[d.doc_id].score == pytest.approx(expected, abs=1e-9) and got[d.doc_id].predicted == (got[d.doc_id].score >= 0.7)
+
+
+def test_a_document_with_two_labels_counts_for_both(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][:20]
+    docs = spark.createDataFrame([(i, "Some words here." if k % 2 else "@@ ## 12") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = [(i, k % 2) for k, i in enumerate(ids)] + [(ids[0], 1), (ids[0], 1)]
+    m = q.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert m.log_prior == pytest.approx(np.log([10 / 22, 12 / 22]))
+    assert {round(r.score) for r in q.score(docs, m).collect()} == {0, 1}
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "Some words here.", 5), (1, "Some words here.", 5), (None, None, 5), (2, "", 5), (3, "x" * 200_000, 5)], "doc_id long, text string, score int")
     none = spark.createDataFrame([(9, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
