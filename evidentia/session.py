@@ -18,11 +18,14 @@ def session(app: str = "evidentia", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names one; else a folder of this machine, as in tests."""
+    """spark.checkpoint.dir where the cluster names one; else a folder of this machine, as in tests, and only where all of
+    Spark runs in this process: on a cluster executors would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="evidentia-")
     return _OWN[app]

@@ -80,3 +80,25 @@ def test_options_reach_the_operators(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2)], "src int, dst int")
     with pytest.raises(BudgetExhausted):
         e.remembered(rows(1), "reach", ["node"], lambda r: reach(edges, r.withColumnRenamed("k", "node")))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from evidentia.session import shared_dir
+
+    named = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(master=master, applicationId="x", getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}))
+    assert shared_dir(named("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(named(master, None))
+    assert shared_dir(named("local[4]", None)).startswith("file://")
+
+
+def test_only_absence_of_the_subpackage_is_passed_over(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "evidentia.llm.queries", None)
+    assert not set(__spark_entry__.queries()) & {"pipeline", "op1_arc_to_warc"}
