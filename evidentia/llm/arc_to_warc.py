@@ -214,7 +214,7 @@ def warc_bytes(r: dict) -> bytes:
 
 def gzip_member(data: bytes) -> bytes:
     """One member without time or name: the same bytes on every run."""
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
