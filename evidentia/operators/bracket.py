@@ -55,10 +55,11 @@ def fingerprint(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def seal(brackets: DataFrame) -> DataFrame:
-    """brackets (bracket, module, roots, exclusions, fingerprint) with a seal over all that was captured, length-framed."""
+    """brackets (bracket, module, roots, exclusions, fingerprint, members: array of root and member) with a seal over all that
+    was captured, length-framed: a member added, taken away or moved between roots breaks it as another digest would."""
     part = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
     many = lambda c: F.concat(F.size(c).cast("string"), F.lit("["), F.array_join(F.transform(F.array_sort(c), part), ""), F.lit("]"))
-    return brackets.withColumn("seal", F.sha2(F.concat(part(F.col("module")), many(F.col("roots")), many(F.col("exclusions")), part(F.col("fingerprint"))).cast("binary"), 256))
+    return brackets.withColumn("seal", F.sha2(F.concat(part(F.col("module")), many(F.col("roots")), many(F.col("exclusions")), part(F.col("fingerprint")), many(F.transform("members", lambda m: F.concat(part(m["root"]), part(m["member"]))))).cast("binary"), 256))
 
 
 def revalidate(before: DataFrame, after: DataFrame) -> DataFrame:

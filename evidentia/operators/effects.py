@@ -16,16 +16,22 @@ def total_order() -> Column:
 
 
 def classify(calls: DataFrame) -> DataFrame:
-    """calls (fn, pkg, symbol, std, writer_in_memory) -> effects. Rules first; a writer-first print into memory is none; pure
-    symbols and packages are none; what else the standard library holds is unaudited; third-party calls are walked instead."""
+    """calls (fn, pkg, symbol, std, writer_in_memory; receiver: of a method, its type's name, if given) -> effects. Rules first;
+    a writer-first print into memory is none; a subtest driver (Run of T or B) and harness logging are admitted, observable;
+    audited symbols and packages are none; what else the standard library holds is unaudited; third-party calls are walked
+    instead."""
     spark = calls.sparkSession
     found = calls.join(F.broadcast(rules.effect_rules(spark)), ["pkg", "symbol"], "left").join(F.broadcast(rules.pure_rules(spark).withColumn("pure", F.lit(True))), ["pkg", "symbol"], "left")
     in_memory = (F.col("pkg") == "fmt") & F.startswith("symbol", F.lit("Fprint")) & F.coalesce("writer_in_memory", F.lit(False))
     logging = (F.col("pkg") == "testing") & F.col("symbol").isin(*rules.HARNESS_LOGGING)
+    receiver = F.col("receiver") if "receiver" in calls.columns else F.lit(None).cast("string")
+    driver = F.coalesce((F.col("pkg") == "testing") & (F.col("symbol") == "Run") & receiver.isin("T", "B"), F.lit(False))
     unaudited = F.coalesce("std", F.lit(True)) & ~F.coalesce("pure", F.lit(False)) & ~rules.fallback_exempt(F.col("pkg"))
     kind = F.when(in_memory, None).when(F.col("kind").isNotNull(), F.col("kind")).when(logging, rules.KIND["test_runtime"]).when(unaudited, rules.KIND["unaudited_standard"])
-    reason = F.coalesce("reason", F.when(logging, F.concat(F.lit("reaches testing."), "symbol", F.lit(" (test harness logging)"))).otherwise(F.concat(F.lit("reaches "), "pkg", F.lit("."), "symbol", F.lit(" (unaudited standard operation)"))))
-    rows = found.select("fn", kind.alias("kind"), F.col("pkg").alias("package_path"), "symbol", F.lit("").alias("detail"), reason.alias("reason"), F.lit(False).alias("unrefinable"), F.coalesce(logging, F.lit(False)).alias("observable"))
+    logged = F.concat(F.lit("reaches testing."), "symbol", F.lit(" (test harness logging)"))
+    other = F.concat(F.lit("reaches unaudited standard operation "), "pkg", F.lit("."), "symbol")
+    reason = F.when(driver, "reaches testing.Run (test harness subtest execution)").otherwise(F.coalesce("reason", F.when(logging, logged).otherwise(other)))
+    rows = found.select("fn", kind.alias("kind"), F.col("pkg").alias("package_path"), "symbol", F.lit("").alias("detail"), reason.alias("reason"), F.lit(False).alias("unrefinable"), (driver | F.coalesce(logging, F.lit(False))).alias("observable"))
     return rows.filter("kind is not null").distinct()
 
 

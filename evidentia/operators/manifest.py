@@ -24,7 +24,7 @@ def path_preimage(kind: Column, path: Column, state: Column, machine: Column) ->
     )
 
 
-def entries(observed: DataFrame, env: DataFrame, states: DataFrame, machine: Column) -> DataFrame:
+def entries(observed: DataFrame, env: DataFrame, states: DataFrame, machine: Column, module_dir: str | None = None) -> DataFrame:
     """observed (manifest_id, kind: env, rel, abs or unverifiable; ident) with digests of the present state."""
     value = env.select(F.col("key").alias("ident"), F.when(F.col("present"), F.coalesce("value", F.lit(""))).alias("value"))
     names = observed.filter("kind = 'env'").join(value, "ident", "left").select("manifest_id", "kind", "ident", digest.env_entry(F.col("value")).alias("digest"))
@@ -32,7 +32,17 @@ def entries(observed: DataFrame, env: DataFrame, states: DataFrame, machine: Col
     found = observed.filter("kind in ('rel', 'abs')").join(state, "ident", "left")
     hashed = found.select("manifest_id", "kind", "ident", digest.short(path_preimage(F.col("kind"), F.col("ident"), F.col("state"), machine)).alias("digest"))
     reasons = observed.filter("kind = 'unverifiable'").select("manifest_id", "kind", "ident", F.lit(None).cast("string").alias("digest"))
-    lost = hashed.filter("digest is null").select("manifest_id", F.lit("unverifiable").alias("kind"), F.concat(F.lit("unhashable runtime input: "), "ident").alias("ident"), "digest")
+    if module_dir is not None:  # a relative path may lead outside the module by a link: existence there is all that is known
+        target = states.select(F.col("path").alias("ident"), F.col("resolved"), (F.col("kind") == "dir").alias("is_dir"), "exists")
+        hashed = hashed.join(target, "ident", "left")
+        outside = F.coalesce((F.col("kind") == "rel") & F.col("exists") & F.col("resolved").isNotNull() & ~paths.under(F.col("resolved"), F.lit(module_dir)), F.lit(False))
+        says = F.when(outside & F.col("is_dir"), "external directory input: ").when(outside, "external runtime input target: ")
+        hashed = hashed.select("manifest_id", "kind", "ident", F.when(~outside, F.col("digest")).alias("digest"), says.alias("says"))
+    else:
+        hashed = hashed.withColumn("says", F.lit(None).cast("string"))
+    why = F.concat(F.coalesce("says", F.lit("unhashable runtime input: ")), "ident")
+    lost = hashed.filter("digest is null").select("manifest_id", F.lit("unverifiable").alias("kind"), why.alias("ident"), "digest")
+    hashed = hashed.drop("says")
     return names.unionByName(hashed.filter("digest is not null")).unionByName(reasons).unionByName(lost).distinct()
 
 
@@ -103,6 +113,18 @@ def merge(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group, "kind", "ident").agg(F.min("digest").alias("digest")).withColumnRenamed(group, "manifest_id")
 
 
+def merge_checked(rows: DataFrame, group: str, current: DataFrame, processes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged, refused). rows: the manifests' entries with their group; current: the entries as they are now; processes:
+    group, process, origin, view. A group is merged only if none of its inputs moved and no process is told of in two ways;
+    refused (group, reason) holds the others, the least moved input or conflicting process first."""
+    shifted = rows.select(group, "manifest_id").distinct().join(moved(rows, current).select("manifest_id").distinct(), "manifest_id")
+    shifted = shifted.groupBy(group).agg(F.concat(F.lit("merge input moved: "), F.min("manifest_id").cast("string")).alias("reason"))
+    twice = processes.groupBy(group, "process").agg(F.count_distinct(F.struct("origin", "view")).alias("n")).filter("n > 1")
+    twice = twice.groupBy(group).agg(F.concat(F.lit("conflicting observations for process "), F.min("process").cast("string")).alias("reason"))
+    refused = twice.unionByName(shifted).groupBy(group).agg(F.min("reason").alias("reason"))
+    return merge(rows.join(refused, group, "left_anti").drop("manifest_id"), group), refused
+
+
 def conflicts(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group, "kind", "ident").agg(F.count_distinct("digest").alias("n")).filter("n > 1").select(group, "kind", "ident")
 
@@ -145,11 +167,16 @@ def describe(rows: DataFrame) -> DataFrame:
     return rows.groupBy("manifest_id", "kind").agg(F.array_sort(F.collect_set("ident")).alias("names"))
 
 
-def dirty(rows: DataFrame, reproducible: DataFrame) -> DataFrame:
-    """manifest_id, dirty: a module-local input that the commit (ident, reproducible) can't give again."""
+def dirty(rows: DataFrame, reproducible: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """manifest_id, dirty: a module-local input that the commit (ident, reproducible) can't give again. With current, the
+    entries as they are now: null, no answer, for a manifest that has moved."""
     local = rows.filter("kind = 'rel'").join(reproducible, "ident", "left")
     found = local.groupBy("manifest_id").agg(F.bool_or(~F.coalesce("reproducible", F.lit(False))).alias("dirty"))
-    return rows.select("manifest_id").distinct().join(found, "manifest_id", "left").select("manifest_id", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+    out = rows.select("manifest_id").distinct().join(found, "manifest_id", "left").select("manifest_id", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+    if current is None:
+        return out
+    shifted = moved(rows, current).select("manifest_id", F.lit(True).alias("gone")).distinct()
+    return out.join(shifted, "manifest_id", "left").select("manifest_id", F.when(F.col("gone").isNull(), F.col("dirty")).alias("dirty"))
 
 
 def paths_of(rows: DataFrame, module_dir: Column) -> DataFrame:

@@ -293,7 +293,7 @@ def effect_rank_argmax(spark, d):
 
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS fn, CASE l_linenumber WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 5 THEN 12 ELSE 7 END AS kind,
-  CASE l_linenumber WHEN 1 THEN 'reaches os.ReadFile (file I/O)' WHEN 2 THEN 'reaches os.Getenv (environment input)' WHEN 3 THEN 'reaches fmt.Println (formatted output)' WHEN 5 THEN 'reaches reflect.ValueOf (unaudited standard operation)' ELSE 'reaches testing.Log (test harness logging)' END AS reason
+  CASE l_linenumber WHEN 1 THEN 'reaches os.ReadFile (file I/O)' WHEN 2 THEN 'reaches os.Getenv (environment input)' WHEN 3 THEN 'reaches fmt.Println (formatted output)' WHEN 5 THEN 'reaches unaudited standard operation reflect.ValueOf' ELSE 'reaches testing.Log (test harness logging)' END AS reason
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber <> 4""".replace("WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2", "WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2"))
 def effect_rules_join(spark, d):
     n = F.col("l_linenumber")

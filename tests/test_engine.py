@@ -88,6 +88,16 @@ def test_classification(spark):
     assert got == {"Getenv": ("environment", False), "ValueOf": ("unaudited_standard", False), "Log": ("test_runtime", True), "Fprint": ("formatted_output", False)}
 
 
+def test_audited_reflection_and_subtest_drivers(spark):
+    calls = [("f", "reflect", "TypeOf", None), ("f", "reflect", "DeepEqual", None), ("f", "reflect", "Copy", None), ("f", "testing", "Run", "T"), ("g", "testing", "Run", "M")]
+    rows = spark.createDataFrame([(fn, p, s, r, True, False) for fn, p, s, r in calls], "fn string, pkg string, symbol string, receiver string, std boolean, writer_in_memory boolean")
+    got = {(r.fn, r.symbol): (r.observable, r.reason) for r in effects.classify(rows).collect()}
+    assert got == {
+        ("f", "Copy"): (False, "reaches unaudited standard operation reflect.Copy"), ("f", "Run"): (True, "reaches testing.Run (test harness subtest execution)"),
+        ("g", "Run"): (False, "reaches testing.Run (test runtime execution)"),
+    }
+
+
 EFFECT = "kind int, package_path string, symbol string, detail string, reason string, unrefinable boolean, observable boolean"
 
 

@@ -145,3 +145,40 @@ def test_rejects_and_absolute(spark):
     assert {(r.ident, r.why) for r in manifest.rejects(df).collect()} == {("A", "duplicate identity"), ("x", "digest shape"), ("y", "unknown kind")}
     got = {(r.kind, r.ident) for r in manifest.absolute(df.filter("kind = 'rel'"), F.lit("/m")).collect()}
     assert got == {("abs", "/m/x"), ("unverifiable", "relative path escapes module: ../z")}
+
+
+def test_merges_refuse_what_moved_and_conflicting_processes(spark):
+    other = "f" * 32
+    rows = [("g", "m1", "env", "A", DIGEST), ("g", "m2", "env", "A", DIGEST), ("h", "m3", "rel", "f", DIGEST), ("i", "m4", "rel", "x", DIGEST)]
+    df = spark.createDataFrame(rows, "g string, manifest_id string, kind string, ident string, digest string")
+    now = spark.createDataFrame([("m1", "env", "A", DIGEST), ("m2", "env", "A", DIGEST), ("m3", "rel", "f", other), ("m4", "rel", "x", DIGEST)], E)
+    told = spark.createDataFrame([("g", "p", "o", "v"), ("g", "p", "o", "v"), ("i", "q", "o", "v"), ("i", "q", "o2", "v")], "g string, process string, origin string, view string")
+    merged, refused = manifest.merge_checked(df, "g", now, told)
+    assert {(r.manifest_id, r.ident) for r in merged.collect()} == {("g", "A")}
+    assert {(r.g, r.reason) for r in refused.collect()} == {("h", "merge input moved: m3"), ("i", "conflicting observations for process q")}
+
+
+def test_dirty_gives_no_answer_for_what_moved(spark):
+    rows = spark.createDataFrame([("m", "rel", "a", DIGEST), ("n", "rel", "a", DIGEST), ("o", "abs", "/b", DIGEST)], E)
+    now = spark.createDataFrame([("m", "rel", "a", DIGEST), ("n", "rel", "a", "f" * 32), ("o", "abs", "/b", DIGEST)], E)
+    commit = spark.createDataFrame([("a", False)], "ident string, reproducible boolean")
+    assert {r.manifest_id: r.dirty for r in manifest.dirty(rows, commit, now).collect()} == {"m": True, "n": None, "o": False}
+
+
+def test_paths_that_lead_outside_the_module(spark):
+    observed = spark.createDataFrame([("m", "rel", x) for x in ("in", "file", "dir", "gone")], "manifest_id string, kind string, ident string")
+    states = [("in", True, "file", 1, 420, 1, "s", "/mod/in"), ("file", True, "file", 1, 420, 1, "s", "/else/f"), ("dir", True, "dir", 1, 420, 1, "s", "/else"), ("gone", False, None, None, None, None, None, None)]
+    st = spark.createDataFrame(states, "path string, exists boolean, kind string, size bigint, mode bigint, mtime_ns bigint, content_sha string, resolved string")
+    env = spark.createDataFrame([], "key string, value string, present boolean")
+    got = {(r.kind, r.ident) for r in manifest.entries(observed, env, st, F.lit("machine"), "/mod").collect()}
+    assert got == {("rel", "in"), ("rel", "gone"), ("unverifiable", "external runtime input target: file"), ("unverifiable", "external directory input: dir")}
+
+
+def test_seals_cover_members(spark):
+    from evidentia.operators import bracket
+
+    schema_ = "bracket string, module string, roots array<string>, exclusions array<string>, fingerprint string, members array<struct<root:string,member:string>>"
+    rows = [("a", [("r", "x"), ("r", "y")]), ("b", [("r", "y"), ("r", "x")]), ("c", [("r", "x")]), ("d", [("r", "x"), ("q", "y")]), ("e", [("r", "x1:y")])]
+    df = spark.createDataFrame([(k, "/m", ["r"], [], "f", m) for k, m in rows], schema_)
+    seals = {r.bracket: r.seal for r in bracket.seal(df).collect()}
+    assert seals["a"] == seals["b"] and len(set(seals.values())) == 4
