@@ -16,7 +16,8 @@ Search: in a task, list by list, queries that probe a list meet its rotated vect
 After each, the partial squared distance s of d of D dimensions, scaled to s D / d, is an estimate of the whole; the
 hypothesis that the whole is within the current k-th distance r is rejected, and the candidate abandoned, where
 s D / d > r (1 + e / sqrt(d))^2. What is left after the last block is scored exactly: cosine in double precision of the
-original vectors (scaled by a power of two, so that no square over- or underflows). Tasks give k rows a query, of which the
+original vectors (scaled by a power of two, so that no square over- or underflows). A query begins with the k-th distance
+among `anchors` rows of the sample, which the k-th of all can only be below. Tasks give k rows a query at most, of which the
 best are kept.
 
 Edge cases: null vectors or ids, zero vectors, vectors that hold null or non-finite components, and vectors of another
@@ -46,6 +47,8 @@ class Index:
     rotation: np.ndarray
     centroids: np.ndarray
     probes: int  # lists that a query probes
+    anchors: np.ndarray  # rotated vectors of some of the sample, and their ids
+    anchor_ids: np.ndarray
     counts: np.ndarray  # rows of each list
     shard_rows: int = 1024
     rows: DataFrame | None = None  # vec_id, v, list, shard
@@ -89,18 +92,19 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def fit(vectors: DataFrame, sample: int = 8192, most_lists: int = 4096, recall: float = 0.95, k: int = 5, seed: int = 3, rounds: int = 8) -> Index | None:
+def fit(vectors: DataFrame, sample: int = 8192, most_lists: int = 4096, recall: float = 0.95, k: int = 5, anchors: int = 4096, seed: int = 3, rounds: int = 8) -> Index | None:
     """Rotation, centroids and the number of probes, of a sample of at most max(sample, 16 most_lists) rows; None for an
     empty table."""
     wanted = max(1, min(most_lists, int(vectors.count() ** 0.5)))
     h = F.xxhash64("vec_id", F.lit(seed))
     slots = vectors.groupBy(F.pmod(h, F.lit(max(sample, 16 * wanted))).alias("slot")).agg(F.min(h).alias("h"))
-    picked = vectors.withColumn("h", h).join(F.broadcast(slots.select("h")), "h").groupBy("h").agg(F.min("v").alias("v"))
-    found = sorted(((r.h, r.v) for r in picked.collect()), key=lambda r: r[0])
+    picked = vectors.withColumn("h", h).join(F.broadcast(slots.select("h")), "h").groupBy("h", "vec_id").agg(F.min("v").alias("v"))
+    found = sorted((r.h, r.v, r.vec_id) for r in picked.collect())
     if not found:
         return None
-    dim = Counter(len(v) for _, v in found).most_common(1)[0][0]
-    x = np.array([v for _, v in found if len(v) == dim])
+    dim = Counter(len(v) for _, v, _ in found).most_common(1)[0][0]
+    x = np.array([v for _, v, _ in found if len(v) == dim])
+    ids = np.array([i for _, v, i in found if len(v) == dim], np.int64)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     x = unit(x) @ rotation
@@ -112,7 +116,9 @@ def fit(vectors: DataFrame, sample: int = 8192, most_lists: int = 4096, recall:
         met, start = np.unique(near[order], return_index=True)
         mean = np.add.reduceat(x[order], start, axis=0)
         centroids[met] = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
-    return Index(rotation, centroids, needed(x, centroids, k, recall, rng), np.zeros(n_lists, np.int64))
+    _, once = np.unique(ids, return_index=True)
+    kept = np.sort(rng.permutation(once)[:anchors])
+    return Index(rotation, centroids, needed(x, centroids, k, recall, rng), x[kept], ids[kept], np.zeros(n_lists, np.int64))
 
 
 def needed(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, rng: np.random.Generator, queries: int = 512) -> int:
@@ -150,15 +156,15 @@ def build(vectors: DataFrame, index: Index, k: int = 5, shard_rows: int | None =
     return dataclasses.replace(index, rows=rows.withColumn("shard", (first + F.pmod(F.xxhash64("vec_id", F.lit(1)), parts)).cast("int")))
 
 
-def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, probes: np.ndarray, rows: np.ndarray, rotated: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int, step: int = 16, error: float = 2.1, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, probes: np.ndarray, rows: np.ndarray, rotated: np.ndarray, ids: np.ndarray, lists: np.ndarray, k: int, step: int = 16, error: float = 2.1, chunk: int = 512, radius: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best k of one shard for each query: query number, row number, score. probes: for each query and list, whether it looks
-    there; lists: each row's, ascending."""
+    there; lists: each row's, ascending; radius: squared distances within which k rows are known to be."""
     dim = rotated.shape[1]
     nq = len(queries)
     queries, rows = scaled(queries), scaled(rows)
     norm_q, norm = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    radius = np.full(nq, np.inf)  # squared distance of the k-th best so far
+    radius = np.full(nq, np.inf) if radius is None else radius.copy()  # squared distance of the k-th best so far
     cuts = np.unique(np.concatenate([np.nonzero(np.diff(lists))[0] + 1, np.arange(0, len(rows), chunk), [len(rows)]]))
     for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         part = rotated[start:stop]
@@ -200,7 +206,7 @@ def scan(queries: np.ndarray, rotated_q: np.ndarray, ids_q: np.ndarray, probes:
         keep = rank < k
         best = (q[keep], r[keep], score[keep])
         full = keep & (rank == k - 1)
-        radius[q[full]] = np.maximum(0, 2 - 2 * score[full]) + 1e-9
+        radius[q[full]] = np.minimum(radius[q[full]], np.maximum(0, 2 - 2 * score[full]) + 1e-9)
     return best
 
 
@@ -218,6 +224,14 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096
         np.put_along_axis(out, order, np.arange(order.shape[1])[None, :] < need[:, None], 1)
         return out & (counts > 0)
 
+    def reached(v: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Squared distance of each query's k-th nearest anchor."""
+        if len(index.anchors) <= k:
+            return np.full(len(v), np.inf)
+        near = index.turn(v) @ index.anchors.T
+        near[own[:, None] == index.anchor_ids[None, :]] = -np.inf
+        return np.maximum(0, 2 - 2 * np.partition(near, -k, axis=1)[:, -k]) + 1e-9
+
     shard_of = np.concatenate([np.zeros(0, np.int64), *[f + np.arange(p) for f, p in zip(first, parts)]])
     list_of = np.repeat(np.arange(len(parts)), parts)
 
@@ -228,9 +242,10 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096
                 asks = probed(_matrix(batch.column(1), dim))[:, list_of]
                 met = np.unique(np.stack([(x := np.nonzero(asks))[0], shard_of[x[1]]], 1), axis=0)
                 take = batch.take(pa.array(met[:, 0]))
-                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(met[:, 1].astype(np.int32))], ["vec_id", "v", "shard"])
+                within = reached(_matrix(batch.column(1), dim), np.asarray(batch.column(0)))[met[:, 0]]
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(within), pa.array(met[:, 1].astype(np.int32))], ["vec_id", "v", "within", "shard"])
 
-    asked = materialise(queries.filter(F.size("v") == dim).distinct().mapInArrow(route, "vec_id long, v array<double>, shard int"), "asked")
+    asked = materialise(queries.filter(F.size("v") == dim).distinct().mapInArrow(route, "vec_id long, v array<double>, within double, shard int"), "asked")
     # a shard's rows are repeated for every query_block queries that come to it
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))  # one row a shard
     asked = asked.join(blocks, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
@@ -247,7 +262,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096
         for at in range(0, left.num_rows, query_block):  # blocks are dealt by hash: about as many, not exactly
             own = left.slice(at, query_block)
             qv, qi = _matrix(own["v"], dim), np.asarray(own["vec_id"])
-            q, r, score = scan(qv, index.turn(qv), qi, probed(qv), rv, turned, ri, lists, k)
+            q, r, score = scan(qv, index.turn(qv), qi, probed(qv), rv, turned, ri, lists, k, radius=np.asarray(own["within"]))
             out.append(pa.table([pa.array(qi[q]), pa.array(ri[r]), pa.array(score)], schema=schema))
         return pa.concat_tables(out)
 

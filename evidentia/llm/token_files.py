@@ -176,23 +176,24 @@ _PLAIN = f"[{re.escape(''.join(_LATIN))}]+(?:\\n[{re.escape(''.join(_LATIN))}]+)
 _PIECE = f" ?[{_LETTERS}]+| ?[{re.escape(_NUMBERS)}]+| ?[{re.escape(_OTHERS)}]+|\\n"
 
 
-class _Memo(dict):
+class _Memo:
     """Keeps what make() gave for a key, in two generations of `limit` keys: a key that is asked for again moves to the newer
     one, the others go with the older one. Nothing that is forgotten is lost, it is made anew."""
 
     def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def many(self, keys: list[str]) -> list:
+        """The values of distinct keys."""
+        new, old, make = self.new, self.old, self.make
+        found = list(map(new.get, keys))
+        for i in [i for i, v in enumerate(found) if v is None]:
+            key = keys[i]
+            value = old.get(key)
+            found[i] = new[key] = make(key) if value is None else value
+            if len(new) >= self.limit:
+                self.old, self.new = old, new = new, {}
+        return found
 
 
 def _byte_level(path: str) -> tuple[bool, list[str]]:
@@ -211,7 +212,9 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndar
     """Places of the items of each list named by which, one list after another."""
     n = sizes[which]
     ends = np.cumsum(n)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)
+    out = np.repeat((starts[which] - (ends - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class TextEncoder:
@@ -252,7 +255,7 @@ class TextEncoder:
         marked = pc.replace_substring_regex(spaced, _PIECE, "\\0\x01")
         parts = pc.split_pattern(pc.utf8_slice_codeunits(marked, 0, -1), "\x01")
         pieces = parts.values.dictionary_encode()
-        ids = [self.words[x] for x in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids = self.words.many(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         bad = np.zeros(len(chunks), bool)
         first, size = np.zeros(len(chunks), np.int64), np.ones(len(chunks), np.int64)
         spread = parts.offsets.to_numpy()
@@ -295,7 +298,7 @@ class TextEncoder:
         of_list[start[np.array(list(own), np.int64)]] = len(chunks) + 1 + len(at) + np.arange(len(own))
         lists, sizes = np.concatenate([*lists, single]), np.concatenate([*sizes, np.ones(len(single), np.int64)])
         of_piece = np.concatenate([pieces.indices.to_numpy(), np.array(extra, np.int64)]).astype(np.int64)
-        lengths = np.array([len(x) for x in ids], np.int64) // 4
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         met = of_piece[_ragged(lists, sizes, of_list)]
         so_far = np.concatenate([[0], np.cumsum(lengths[of_piece])])
@@ -317,7 +320,7 @@ class TextEncoder:
     def _ids(self, chunk: str, lead: str) -> bytes:
         """Ids of a chunk behind `lead`, a space or nothing."""
         if re.fullmatch(_PLAIN, chunk):
-            return b"".join(map(self.words.__getitem__, re.findall(_PIECE, lead + chunk)))
+            return b"".join(self.words.many(re.findall(_PIECE, lead + chunk)))
         return self._whole(lead + chunk)
 
     def _careful(self, text: str) -> bytes:
