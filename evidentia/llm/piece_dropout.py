@@ -295,7 +295,7 @@ class _Trees:
     """Segmentations by chunk and candidates skipped. A node's candidates lie side by side in salt and child; child: the node
     where that candidate is the next one skipped, or -1."""
 
-    LIMIT = 600_000
+    LIMIT = 150_000
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
