@@ -67,13 +67,22 @@ def attributed(
     parts = type_components.select(F.col("type").alias("src"), F.col("component").alias("dst"))
     made_types = make_iface.select("type") if seed_types is None else make_iface.select("type").unionByName(seed_types.select("type"))
     whole = pin(reach(parts, made_types.select("type", F.col("type").alias("node")).distinct(), ["type"]), "whole")
+    # what a function brings along, all kinds in one table: a round joins and writes facts once
     of_function = {
         "values": address_taken.select(F.col("by_fn").alias("fn"), F.col("fn").alias("value")).join(signature, "value").select("fn", "value", "sig"),
         "sigs": dyn_sites.select("fn", "sig"),
         "types": make_iface.join(whole, "type").select("fn", F.col("node").alias("type")),
         "calls": invoke_sites.select("fn", "iface", "method"),
     }
-    of_function = {k: pin(v.distinct(), k) for k, v in of_function.items()}
+    kinds = {c: t for df in of_function.values() for c, t in df.dtypes if c != "fn"}
+
+    def padded(df: DataFrame, kind: str, key: str) -> DataFrame:
+        return df.select(key, F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        return df.filter(F.col("kind") == kind).select("subject", *[c for c in of_function[kind].columns if c != "fn"])
+
+    facts = pin(reduce(DataFrame.unionByName, [padded(v, k, "fn") for k, v in of_function.items()]).distinct(), "facts")
     bridge = pin(implements(type_methods, iface_methods), "implements")
     methods = pin(type_methods.select("type", "method", F.col("impl_fn").alias("to"), "exported").distinct(), "methods")
 
@@ -82,31 +91,29 @@ def attributed(
 
     delta = pin(roots.select("subject", "fn").distinct(), "reach")
     reached = delta
-    columns = {k: ["subject", *[c for c in v.columns if c != "fn"]] for k, v in of_function.items()}
-    known = {k: delta.join(v, "fn").select(*columns[k]).limit(0) for k, v in of_function.items()}
-    seeded = {k: None for k in of_function}
+    known = delta.join(facts, "fn").drop("fn").limit(0)
+    seeds = []
     if seed_values is not None:
-        seeded["values"] = seed_values.select("subject", F.col("fn").alias("value")).join(signature, "value").select(*columns["values"])
+        seeds.append(padded(seed_values.select("subject", F.col("fn").alias("value")).join(signature, "value"), "values", "subject"))
     if seed_types is not None:
-        seeded["types"] = seed_types.join(whole, "type").select("subject", F.col("node").alias("type")).select(*columns["types"])
+        seeds.append(padded(seed_types.join(whole, "type").select("subject", F.col("node").alias("type")), "types", "subject"))
     for n in rounds("attributed", max_rounds):
-        new = {}
-        for k, v in of_function.items():
-            came = delta.join(v, "fn").select(*columns[k])
-            came = came if n or seeded[k] is None else came.unionByName(seeded[k])
-            new[k] = pin(came.distinct().join(known[k], columns[k], "left_anti"), k)
-        both = {k: gather(known[k], new[k], n) for k in new}
+        came = reduce(DataFrame.unionByName, [delta.join(facts, "fn").drop("fn"), *([] if n else seeds)]).distinct()
+        held = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in known.columns])
+        new = pin(came.join(held, same, "left_anti") if n else came, "new")
+        both = gather(known, new, n) if n else new
         ways = [
             delta.join(calls, "fn").select("subject", "to"),
-            new["values"].join(both["sigs"], ["subject", "sig"]).select("subject", F.col("value").alias("to")),
-            known["values"].join(new["sigs"], ["subject", "sig"]).select("subject", F.col("value").alias("to")),
-            through(new["calls"], both["types"]).select("subject", "to"),
-            through(known["calls"], new["types"]).select("subject", "to"),
+            of(new, "values").join(of(both, "sigs"), ["subject", "sig"]).select("subject", F.col("value").alias("to")),
+            of(known, "values").join(of(new, "sigs"), ["subject", "sig"]).select("subject", F.col("value").alias("to")),
+            through(of(new, "calls"), of(both, "types")).select("subject", "to"),
+            through(of(known, "calls"), of(new, "types")).select("subject", "to"),
             # what reflection may call: exported methods of types that became interface values
-            new["types"].join(methods.filter("exported"), "type").select("subject", "to"),
+            of(new, "types").join(methods.filter("exported"), "type").select("subject", "to"),
         ]
         if reflective:
-            ways.append(new["values"].select("subject", F.col("value").alias("to")))
+            ways.append(of(new, "values").select("subject", F.col("value").alias("to")))
         came = reduce(DataFrame.unionByName, ways).select("subject", F.col("to").alias("fn")).distinct()
         delta = pin(came.join(reached, ["subject", "fn"], "left_anti"), "reach")
         known = both
@@ -114,8 +121,8 @@ def attributed(
             break
         reached = gather(reached, delta, n)
     at = lambda sites: reached.join(sites, "fn").drop("fn").distinct()
-    dynamic = at(dyn_sites.select("fn", "site", "sig")).join(known["values"], ["subject", "sig"]).select("subject", "site", F.col("value").alias("fn"))
-    dispatched = through(at(invoke_sites.select("fn", "site", "iface", "method")), known["types"]).select("subject", "site", F.col("to").alias("fn"))
+    dynamic = at(dyn_sites.select("fn", "site", "sig")).join(of(known, "values"), ["subject", "sig"]).select("subject", "site", F.col("value").alias("fn"))
+    dispatched = through(at(invoke_sites.select("fn", "site", "iface", "method")), of(known, "types")).select("subject", "site", F.col("to").alias("fn"))
     return Attributed(reached, pin(dynamic.unionByName(dispatched).distinct(), "targets"))
 
 
