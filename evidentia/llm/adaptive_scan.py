@@ -16,9 +16,9 @@ Search: in a task, list by list, queries that probe a list meet its rotated vect
 After each, the partial squared distance s of d of D dimensions, scaled to s D / d, is an estimate of the whole; the
 hypothesis that the whole is within the current k-th distance r is rejected, and the candidate abandoned, where
 s D / d > r (1 + e / sqrt(d))^2. What is left after the last block is scored exactly: cosine in double precision of the
-original vectors (scaled by a power of two, so that no square over- or underflows). A query begins with the k-th distance
-among `anchors` rows of the sample, which the k-th of all can only be below. Tasks give k rows a query at most, of which the
-best are kept.
+original vectors (scaled by a power of two, so that no square over- or underflows). A query begins with its k nearest of
+`anchors` rows of the sample: they are candidates, and the k-th of all can only be nearer than theirs. Tasks give k rows a
+query at most, of which, with those, the best are kept.
 
 Edge cases: null vectors or ids, zero vectors, vectors that hold null or non-finite components, and vectors of another
 dimension than most of the sample take no part; rows with the query's own id are its own; equal scores go to the smaller id;
@@ -47,7 +47,7 @@ class Index:
     rotation: np.ndarray
     centroids: np.ndarray
     probes: int  # lists that a query probes
-    anchors: np.ndarray  # rotated vectors of some of the sample, and their ids
+    anchors: np.ndarray  # vectors of some of the sample, and their ids
     anchor_ids: np.ndarray
     counts: np.ndarray  # rows of each list
     shard_rows: int = 1024
@@ -107,7 +107,7 @@ def fit(vectors: DataFrame, sample: int = 8192, most_lists: int = 4096, recall:
     ids = np.array([i for _, v, i in found if len(v) == dim], np.int64)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    x = unit(x) @ rotation
+    original, x = x, unit(x) @ rotation
     n_lists = max(1, min(wanted, len(x) // 16))
     centroids = x[rng.choice(len(x), n_lists, replace=False)]
     for _ in range(rounds):
@@ -118,7 +118,7 @@ def fit(vectors: DataFrame, sample: int = 8192, most_lists: int = 4096, recall:
         centroids[met] = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
     _, once = np.unique(ids, return_index=True)
     kept = np.sort(rng.permutation(once)[:anchors])
-    return Index(rotation, centroids, needed(x, centroids, k, recall, rng), x[kept], ids[kept], np.zeros(n_lists, np.int64))
+    return Index(rotation, centroids, needed(x, centroids, k, recall, rng), original[kept], ids[kept], np.zeros(n_lists, np.int64))
 
 
 def needed(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, rng: np.random.Generator, queries: int = 512) -> int:
@@ -224,13 +224,26 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096
         np.put_along_axis(out, order, np.arange(order.shape[1])[None, :] < need[:, None], 1)
         return out & (counts > 0)
 
-    def reached(v: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Squared distance of each query's k-th nearest anchor."""
+    def reached(v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's k nearest anchors and their cosines, nearest first; none where there are too few anchors."""
         if len(index.anchors) <= k:
-            return np.full(len(v), np.inf)
-        near = index.turn(v) @ index.anchors.T
+            return np.zeros((len(v), 0), np.int64), np.zeros((len(v), 0))
+        near = unit(v) @ unit(index.anchors).T
         near[own[:, None] == index.anchor_ids[None, :]] = -np.inf
-        return np.maximum(0, 2 - 2 * np.partition(near, -k, axis=1)[:, -k]) + 1e-9
+        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        q, a = scaled(v), scaled(index.anchors)
+        cosine = (q[:, None, :] * a[top]).sum(2) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(a, axis=1)[top])
+        order = np.argsort(-cosine, axis=1, kind="stable")
+        return np.take_along_axis(top, order, 1), np.take_along_axis(cosine, order, 1)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                ids = np.asarray(batch.column(0))
+                top, cosine = reached(_matrix(batch.column(1), dim), ids)
+                q = np.repeat(ids, top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(index.anchor_ids[top.ravel()], pa.int64()), pa.array(cosine.ravel())], ["query_id", "vec_id", "score"])
 
     shard_of = np.concatenate([np.zeros(0, np.int64), *[f + np.arange(p) for f, p in zip(first, parts)]])
     list_of = np.repeat(np.arange(len(parts)), parts)
@@ -242,10 +255,13 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096
                 asks = probed(_matrix(batch.column(1), dim))[:, list_of]
                 met = np.unique(np.stack([(x := np.nonzero(asks))[0], shard_of[x[1]]], 1), axis=0)
                 take = batch.take(pa.array(met[:, 0]))
-                within = reached(_matrix(batch.column(1), dim), np.asarray(batch.column(0)))[met[:, 0]]
-                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(within), pa.array(met[:, 1].astype(np.int32))], ["vec_id", "v", "within", "shard"])
+                cosine = reached(_matrix(batch.column(1), dim), np.asarray(batch.column(0)))[1]
+                within = np.maximum(0, 2 - 2 * cosine[:, -1]) + 1e-9 if cosine.shape[1] else np.full(len(cosine), np.inf)
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(within[met[:, 0]]), pa.array(met[:, 1].astype(np.int32))], ["vec_id", "v", "within", "shard"])
 
-    asked = materialise(queries.filter(F.size("v") == dim).distinct().mapInArrow(route, "vec_id long, v array<double>, within double, shard int"), "asked")
+    queries = queries.filter(F.size("v") == dim).distinct()
+    known = queries.mapInArrow(begin, "query_id long, vec_id long, score double")
+    asked = materialise(queries.mapInArrow(route, "vec_id long, v array<double>, within double, shard int"), "asked")
     # a shard's rows are repeated for every query_block queries that come to it
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))  # one row a shard
     asked = asked.join(blocks, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
@@ -267,7 +283,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_block: int = 4096
         return pa.concat_tables(out)
 
     found = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(tile, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
