@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from .common import slices, table, texts
 
 SPACE = "▁"
+#: Segmentations that a worker holds; what is forgotten is made anew, with the same ids.
+HOLD = 500_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _M64 = (1 << 64) - 1
 
@@ -295,17 +297,15 @@ class _Trees:
     """Segmentations by chunk and candidates skipped. A node's candidates lie side by side in salt and child; child: the node
     where that candidate is the next one skipped, or -1."""
 
-    LIMIT = 150_000
-
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, limit: int):
+        self.pieces, self.limit = pieces, limit
         self.clear()
 
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.of: list[tuple[str, tuple[int, ...]]] = []
-        self.start, self.count, self.salt, self.child = array("q"), array("q"), array("I"), array("q")
+        self.of: list[str | tuple[str, tuple[int, ...]]] = []  # a root's chunk; of other nodes, the candidates skipped too
+        self.start, self.count, self.salt, self.child = array("i"), array("i"), array("I"), array("i")
 
     def learn(self, chunks: set[str]) -> None:
         """Roots of chunks that are not held yet, all at once."""
@@ -318,14 +318,14 @@ class _Trees:
         ends = np.searchsorted(row[order], np.arange(len(new) + 1)).astype(np.int64)
         self.roots.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
         self.ids.extend(found)
-        self.of.extend((c, ()) for c in new)
-        self.start.frombytes((ends[:-1] + len(self.salt)).tobytes())
-        self.count.frombytes(np.diff(ends).tobytes())
+        self.of.extend(new)
+        self.start.frombytes((ends[:-1] + len(self.salt)).astype(np.int32).tobytes())
+        self.count.frombytes(np.diff(ends).astype(np.int32).tobytes())
         self.salt.frombytes(salts.tobytes())
-        self.child.frombytes(np.full(len(salts), -1, np.int64).tobytes())
+        self.child.frombytes(np.full(len(salts), -1, np.int32).tobytes())
 
     def grow(self, node: int, candidate: int) -> int:
-        chunk, skips = self.of[node]
+        chunk, skips = (self.of[node], ()) if isinstance(self.of[node], str) else self.of[node]
         skips = (*skips, self.salt[candidate])
         taken: list[int] = []
         ids = np.array(self.pieces.segment(chunk, skips=skips, taken=taken), "<u4").tobytes()
@@ -343,9 +343,9 @@ class _Trees:
 
 
 class PieceCoder:
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 4):
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 4, hold: int = HOLD):
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
-        self.trees = _Trees(self.pieces)
+        self.trees = _Trees(self.pieces, hold)
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
@@ -392,7 +392,7 @@ class PieceCoder:
     def _coded(self, chunks: list[str], code: np.ndarray, keys: np.ndarray) -> list[bytes]:
         """Ids of every occurrence, given by its chunk's number, by its own key."""
         trees = self.trees
-        if len(trees.ids) > trees.LIMIT:
+        if len(trees.ids) > trees.limit:
             trees.clear()
         trees.learn({c for c in chunks if c not in trees.roots and len(c) < 64})
         node = np.fromiter(map(trees.roots.get, chunks, repeat(-1)), np.int64, len(chunks))[code]
@@ -455,14 +455,14 @@ def coder(*args) -> PieceCoder:
     return _CODERS[args]
 
 
-def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", hold: int = HOLD) -> DataFrame:
     """docs with ids (array<int>), n_pieces and lossless (its ids decode to the text itself)."""
     kept = docs.drop("ids", "n_pieces", "lossless")
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model, rate, seed)
+        c = coder(model, rate, seed, hold)
         for batch in slices(batches, text_col, 2 << 20):
             keys = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             whole = texts(batch, text_col)

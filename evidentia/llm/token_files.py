@@ -114,11 +114,10 @@ def unpack(n: int, offsets: np.ndarray, words: np.ndarray, escapes: np.ndarray)
         if s == 0:
             out[place[rows]] = escapes[low[rows].astype(np.int64)]
         elif BITS[s]:
-            k = np.arange(COUNTS[s], dtype=np.int64)
-            value = (low[rows][:, None] >> (k * BITS[s]).astype(np.uint64)) & np.uint64((1 << int(BITS[s])) - 1)
-            to = place[rows][:, None] + k
-            inside = to < end[rows][:, None]
-            out[to[inside]] = value[inside]
+            whole = place[rows] + COUNTS[s] <= end[rows]
+            for k in range(int(COUNTS[s])):  # a block's last word may be partly used
+                here = rows if k == 0 else rows[whole | (place[rows] + k < end[rows])]
+                out[place[here] + k] = (low[here] >> np.uint64(k * int(BITS[s]))) & np.uint64((1 << int(BITS[s])) - 1)
     return out
 
 
@@ -228,7 +227,7 @@ class TextEncoder:
     encodes the whole text at once.
     """
 
-    WORDS = 300_000
+    WORDS = 450_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -347,7 +346,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for wide in slices(batches, "text", max(record_bytes, 4 << 20)):
+        for wide in slices(batches, "text", max(record_bytes, 6 << 20)):
             ids, counts = enc.encode_many(texts(wide, "text"), end_id)
             row = at = 0
             for batch in slices(iter([wide]), "text", record_bytes):
