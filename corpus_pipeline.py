@@ -46,7 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = piece_dropout.encode(docs, piece_dropout.model_path())
+    # workers of the other stages stay beside this one: it holds less than by itself
+    coded = piece_dropout.encode(docs, piece_dropout.model_path(), hold=150_000)
     return coded.select("doc_id", "lang", "source", "n_pieces", "lossless", "ids")
 
 
