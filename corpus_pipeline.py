@@ -2,7 +2,8 @@
 it kept, and returns a DataFrame; run() writes each result as a table in the shared folder and reads it for the next.
 
 1. quality: documents whose quality score is below 0.7 go.
-2. language: documents without a letter, or whose best language has a mean posterior below MIN_LANGUAGE, go.
+2. language: documents without a letter, or whose best language has a mean posterior below MIN_OVER_CHANCE times that of
+   chance (one over the number of languages learned), go.
 3. near_duplicates: of each component of near copies, the document of the smallest id stays.
 4. mix: MIX_SHARE of the tokens, dealt over domains, languages and sources by weight; a document is taken once at most.
 5. pieces: ids of every document that is left, with merge-dropout.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from evidentia.llm import byte_gru, mixing, piece_dropout, quality_qda, simhash_segments
 from evidentia.llm.common import materialise, table
 
-MIN_LANGUAGE = 0.3
+MIN_OVER_CHANCE = 1.2
 MIX_SHARE = (4, 5)
 
 
@@ -30,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = byte_gru.fit(byte_gru.sample(docs))
-    known = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)
+    least = min(1.0, MIN_OVER_CHANCE / max(1, len(model.langs))) if model else 1.0
+    known = (F.col("lang_pred") != "und") & (F.col("score") >= least)
     return byte_gru.predict(docs, model).filter(known).select(*docs.columns)
 
 
