@@ -227,7 +227,7 @@ class TextEncoder:
     encodes the whole text at once.
     """
 
-    WORDS = 450_000
+    WORDS = 350_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -346,7 +346,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for wide in slices(batches, "text", max(record_bytes, 6 << 20)):
+        for wide in slices(batches, "text", max(record_bytes, 5 << 20)):
             ids, counts = enc.encode_many(texts(wide, "text"), end_id)
             row = at = 0
             for batch in slices(iter([wide]), "text", record_bytes):
