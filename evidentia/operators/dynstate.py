@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.digest import short
+from ..session import pin
 from .fixpoint import components, fallen, init_only, init_reach, least_proof, reach
 
 #: Culprits by class, the gravest first.
@@ -111,11 +112,24 @@ def discharges(candidates: DataFrame, vouches: DataFrame, audited: DataFrame, di
 
 def unreachable_discharges(found: DataFrame, sites: DataFrame, rooted: DataFrame, complete: DataFrame, key: str = "subject") -> DataFrame:
     """Culprits (key, var_key) none of whose mark sites (var_key, fn) lies in the functions rooted for the key, where that
-    inventory is complete. A culprit without any site stays."""
-    hit = found.join(sites, "var_key").join(rooted, [key, "fn"], "left_semi").select(key, "var_key").distinct()
+    inventory is complete. A culprit without any site stays. Rows of found and rooted may repeat; those returned don't.
+
+    A key's least and greatest functions settle most of its culprits. The rest are looked up from their shorter side, the
+    key's functions or the variable's sites, so that neither a large inventory nor a variable of many sites multiplies the other."""
+    sites, rooted = pin(sites.select("var_key", "fn").distinct(), "sites"), rooted.select(key, "fn")
+    placed = pin(sites.groupBy("var_key").agg(F.count("*").alias("n_sites")), "placed")
+    sizes = rooted.groupBy(key).agg(F.count("*").alias("n_rooted"), F.min("fn").alias("least_fn"), F.max("fn").alias("greatest_fn"))
     whole = complete.filter(F.coalesce("complete", F.lit(False))).select(key)
-    placed = found.join(sites.select("var_key").distinct(), "var_key", "left_semi").join(whole, key, "left_semi")
-    return placed.join(hit, [key, "var_key"], "left_anti")
+    rows = found.join(placed, "var_key").join(whole, key, "left_semi").join(sizes, key, "left")
+    rows = rows.withColumn("near", F.col("n_rooted") <= F.col("n_sites")).drop("n_rooted", "n_sites")
+    for end in ("least_fn", "greatest_fn"):
+        rows = rows.join(sites.withColumnRenamed("fn", end), ["var_key", end], "left_anti").drop(end)
+    rows = pin(rows.distinct(), "unsettled")
+    near, far = rows.filter("near").select(key, "var_key"), rows.filter("not near").select(key, "var_key")
+    hit = near.join(rooted, key).join(sites, ["var_key", "fn"], "left_semi").select(key, "var_key")
+    if not far.isEmpty():
+        hit = hit.unionByName(far.join(sites, "var_key").join(rooted, [key, "fn"], "left_semi").select(key, "var_key"))
+    return rows.join(hit, [key, "var_key"], "left_anti").select(found.columns)
 
 
 def reached_culprits(packages: DataFrame, imports: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:

@@ -357,10 +357,10 @@ AND NOT EXISTS (SELECT 1 FROM s JOIN r USING (fn) WHERE s.v = f.v AND r.subject
 def unreachable_marks(spark, d):
     rows = t(spark, d, "lineitem")
     key = (F.col("l_partkey") % 60).cast("string")
-    found = rows.select(F.col("l_orderkey").alias("subject"), key.alias("var_key")).distinct()
-    sites = rows.filter((F.col("l_partkey") % 60 < 50) & (F.col("l_linenumber") == 1)).select(key.alias("var_key"), F.col("l_suppkey").alias("fn")).distinct()
+    found = rows.select(F.col("l_orderkey").alias("subject"), key.alias("var_key"))
+    sites = rows.filter((F.col("l_partkey") % 60 < 50) & (F.col("l_linenumber") == 1)).select(key.alias("var_key"), F.col("l_suppkey").alias("fn"))
     complete = rows.select(F.col("l_orderkey").alias("subject"), (F.col("l_orderkey") % 3 != 0).alias("complete")).distinct()
-    return dynstate.unreachable_discharges(found, sites, rows.select(F.col("l_orderkey").alias("subject"), F.col("l_suppkey").alias("fn")).distinct(), complete).select("subject", "var_key")
+    return dynstate.unreachable_discharges(found, sites, rows.select(F.col("l_orderkey").alias("subject"), F.col("l_suppkey").alias("fn")), complete).select("subject", "var_key")
 
 
 _IMPORTS = "i AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 5 AND p_size % 2 = 0)"

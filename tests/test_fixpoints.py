@@ -184,3 +184,50 @@ def test_long_paths_are_flattened_and_swept(spark):
     assert found.count() == 41 and found.explain is not None
     assert found._jdf.queryExecution().analyzed().toString().count("Relation") <= fixpoint.FLATTEN + 2
     assert sweep(spark) > 40 and sweep(spark) == 0
+
+
+def joined(spark, run):
+    """What run() gives, and the rows that joins made meanwhile, pinned tables included."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    n = store.executionsCount()
+    out, made = run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for i in range(n, runs.size()):
+        at = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size()) if "Join" in nodes.apply(j).name()):
+            own = [node.metrics().apply(j) for j in range(node.metrics().size())]
+            made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in own if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return out, made
+
+
+def unreachable(spark, found, sites, rooted, complete):
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    return dynstate.unreachable_discharges(frame(found, "subject int, var_key string"), frame(sites, "var_key string, fn int"), frame(rooted, "subject int, fn int"), frame(complete, "subject int, complete boolean"))
+
+
+def test_unreachable_discharges_by_plain_loops(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        few = rng.choice([3, 30])
+        found = [(rng.choice([None, *range(20)]), rng.choice([None, *"abcdef"])) for _ in range(80)]
+        sites = [(rng.choice([None, *"abcde"]), rng.choice([None, *range(60)])) for _ in range(60)] + [("c", None), ("d", 77)]
+        rooted = [(rng.choice([None, *range(18)]), rng.choice([None, *range(60)])) for _ in range(few * 18)] + [(3, None)] * 2
+        complete = [(i, rng.choice([True, True, False, None])) for i in range(20)]
+        at = {v: {f for w, f in sites if w == v} for v, _ in sites if v is not None}
+        own = {s: {f for r, f in rooted if r == s and f is not None} for s in range(20)}
+        want = {(s, v) for s, v in found if s is not None and dict(complete)[s] and v in at and not at[v] & own[s]}
+        rows = [tuple(r) for r in unreachable(spark, found, sites, rooted, complete).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_unreachable_discharges_multiply_neither_sites_nor_functions(spark):
+    # 300 subjects of 3 functions and a variable of 2,000 sites; a subject of 2,000 functions and 300 variables of 3 sites
+    found = [(s, "wide") for s in range(300)] + [(999, f"v{i}") for i in range(300)]
+    sites = [("wide", f) for f in range(2000)] + [(f"v{i}", 50_000 + 3 * i + j) for i in range(300) for j in range(3)]
+    rooted = [(s, 10_000 + 3 * s + j) for s in range(300) for j in range(3)] + [(999, 50_000 + 7 * f) for f in range(-1000, 1000)]
+    rows, made = joined(spark, lambda: unreachable(spark, found, sites, rooted, [(s, True) for s in (*range(300), 999)]).collect())
+    hit = {f"v{i}" for i in range(300) if any((3 * i + j) % 7 == 0 for j in range(3))}
+    assert {tuple(r) for r in rows} == {(s, v) for s, v in found if v not in hit}
+    assert made < 20_000
