@@ -70,8 +70,15 @@ def scan_blockers(effects: DataFrame) -> DataFrame:
 
 def attributed(reached: DataFrame, effects: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """(subject, effect columns): effects of the functions that a subject reaches; functions (fn, std) leaves out standard ones."""
-    rows = reached if functions is None else reached.join(functions.filter(~F.coalesce("std", F.lit(False))).select("fn"), "fn", "left_semi")
-    return rows.join(effects, "fn")
+    rows = effects if functions is None else effects.join(functions.filter(~F.coalesce("std", F.lit(False))).select("fn"), "fn", "left_semi")
+    return reached.join(rows, "fn")
+
+
+def tally(reached: DataFrame, effects: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """(subject, n, worst): how many effects a subject's functions have, and the highest rank of them. Counted once a function,
+    so that a subject meets a row a function and not a row an effect."""
+    each = ranked(effects).groupBy("fn").agg(F.count("*").alias("each"), F.max("rank").alias("worst"))
+    return attributed(reached, each, functions).groupBy("subject").agg(F.sum("each").alias("n"), F.max("worst").alias("worst"))
 
 
 def observability(subjects: DataFrame, startup: DataFrame, test_main: DataFrame, subject_effects: DataFrame, widens: DataFrame, package_scan: DataFrame, poisoned: DataFrame) -> DataFrame:

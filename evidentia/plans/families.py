@@ -155,8 +155,7 @@ SELECT subject, count(*) AS n, max(rank) AS worst FROM r JOIN f USING (fn) JOIN
 def subject_effects(spark, d):
     reached = t(spark, d, "orders").select(F.col("o_custkey").alias("subject"), (F.col("o_orderkey") % 150).alias("fn")).distinct()
     functions = t(spark, d, "part").select(F.col("p_partkey").alias("fn"), (F.col("p_partkey") % 3 == 0).alias("std"))
-    rows = effects.attributed(reached, _effects(spark, d).withColumn("fn", F.col("event_id") % 150), functions)
-    return effects.ranked(rows).groupBy("subject").agg(F.count("*").alias("n"), F.max("rank").alias("worst"))
+    return effects.tally(reached, _effects(spark, d).withColumn("fn", F.col("event_id") % 150), functions)
 
 
 _TIERS = "SELECT user_id AS subject, min(reason) AS r FROM (SELECT user_id, 'e' || event_id % 7 AS reason, event_id FROM events) WHERE event_id % 29 = {} GROUP BY 1"

@@ -1,10 +1,13 @@
 import json
 
 import pytest
+from metrics import joined
+from oracle import assert_same
 from pyspark.sql import functions as F
 
 from evidentia.functions import rules
 from evidentia.operators import attribution, closure, effects, explain, snapshot
+from evidentia.plans.catalogue import QUERIES, SQL
 from evidentia.schemas import DDL, schema
 from evidentia.sources import listings
 from evidentia.sources.memo import Memo
@@ -139,6 +142,22 @@ def test_attributed_effects(spark):
     assert {(r.subject, r.kind) for r in effects.attributed(reached, fx, fns).collect()} == {("A", 1), ("B", 2)}
 
 
+def test_tally_of_effects(spark):
+    reached = spark.createDataFrame([("A", "f"), ("A", "g"), ("A", "std"), ("B", "g"), ("C", "std"), ("D", "bare"), ("E", None)], "subject string, fn string")
+    fx = spark.createDataFrame([("f", *effect("file_io", "r")), ("f", *effect("file_io", "r")), ("g", *effect("environment", "s")), ("std", *effect("network", "t")), (None, *effect("network", "t"))], "fn string, " + EFFECT)
+    fns = spark.createDataFrame([("f", False), ("g", None), ("std", True), ("bare", False)], "fn string, std boolean")
+    assert {tuple(r) for r in effects.tally(reached, fx, fns).collect()} == {("A", 3, 3), ("B", 1, 1)}
+    assert {tuple(r) for r in effects.tally(reached, fx).collect()} == {("A", 4, 4), ("B", 1, 1), ("C", 1, 4)}
+
+
+def test_subject_effects_meet_functions_not_effects(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS o_orderkey", "id % 500 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(200).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(6000).selectExpr("id AS event_id", "id % 7 AS user_id", "element_at(array('error', 'purchase', 'signup', 'click', 'view'), cast(1 + id % 5 AS int)) AS event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    _, made = joined(spark, lambda: assert_same(QUERIES["subject_effects"](spark, str(tmp_path)), SQL["subject_effects"], str(tmp_path)))
+    assert made < 6000
+
+
 def test_snapshots(spark):
     table = lambda v: spark.createDataFrame([("k", v)], "key string, v int")
     subjects = spark.createDataFrame([("p", "A"), ("p", "B")], "package string, symbol string")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from metrics import joined
 from pyspark.sql import functions as F
 
 from evidentia.operators import attribution, dynstate, fixpoint
@@ -186,22 +187,6 @@ def test_long_paths_are_flattened_and_swept(spark):
     assert sweep(spark) > 40 and sweep(spark) == 0
 
 
-def joined(spark, run):
-    """What run() gives, and the rows that joins made meanwhile, pinned tables included."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    n = store.executionsCount()
-    out, made = run(), 0
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    runs = store.executionsList()
-    for i in range(n, runs.size()):
-        at = runs.apply(i).executionId()
-        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
-        for node in (nodes.apply(j) for j in range(nodes.size()) if "Join" in nodes.apply(j).name()):
-            own = [node.metrics().apply(j) for j in range(node.metrics().size())]
-            made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in own if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
-    return out, made
-
-
 def unreachable(spark, found, sites, rooted, complete):
     frame = lambda rows, names: spark.createDataFrame(rows, names)
     return dynstate.unreachable_discharges(frame(found, "subject int, var_key string"), frame(sites, "var_key string, fn int"), frame(rooted, "subject int, fn int"), frame(complete, "subject int, complete boolean"))
